@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from brightloom.llm.quality import STOP_WORDS
+from brightloom.llm.secrets import RULES
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -54,5 +57,39 @@ FROM r
 """
 
 
+
+def _either_case(pattern: str) -> str:
+    """RE2 folds letters beyond ASCII under (?i:), so each letter becomes a class."""
+    return re.sub(r"\(\?i:([^)]*)\)", lambda m: "(" + re.sub("[a-z]", lambda c: f"[{c[0]}{c[0].upper()}]", m[1]) + ")", pattern)
+
+
+def _op9() -> str:
+    parts = []
+    for i, r in enumerate(RULES):
+        pattern = _either_case(r.pattern).replace("((", "(", 1).replace("))", ")", 1).replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, {i} AS o, '{r.kind}' AS kind, {r.least} AS least, "
+            f"regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {r.group}) AS v, "
+            f"string_split_regex(t, '{pattern}') AS p FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
+        )
+    return f"""
+WITH hits AS ({" UNION ALL ".join(parts)}), each_hit AS (
+  SELECT doc_id, o, kind, least, m[i] AS m, v[i] AS v,
+         list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM hits)
+), kept AS (
+  SELECT doc_id, o, kind, s::BIGINT AS s, (s + length(m))::BIGINT AS e FROM each_hit WHERE length(v) >= least
+), g AS (
+  SELECT doc_id, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) FILTER (o < 3) AS base,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS spans
+  FROM kept GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": OP1}
+    return {"op1_quality": OP1, "op9_secrets": _op9()}
