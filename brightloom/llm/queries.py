@@ -47,5 +47,11 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brightloom.llm.media import stored_payloads
+
+    return stored_payloads(_documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
