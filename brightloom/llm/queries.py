@@ -53,5 +53,11 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_payloads(_documents(spark, sf_dir))
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brightloom.llm.neardup import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir), size=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
