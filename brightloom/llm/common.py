@@ -81,7 +81,7 @@ def spread(key: Column, buckets: int) -> Column:
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: str, rank: str, rows: int) -> DataFrame:
-    """``df`` with ``rank``: 0, 1, ... within ``keys``, whatever share of the rows a key has.
+    """``df`` with ``rank``: 0, 1, ... within ``keys`` (not null), whatever share of the rows a key has.
 
     Rows of a key are dealt by the hash of ``order`` (unique in ``df``) over
     buckets of bounded size. Buckets are counted with partial sums, counts are
@@ -97,7 +97,7 @@ def ranked(df: DataFrame, keys: Sequence[str], order: str, rank: str, rows: int)
         .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), "_start")
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_bucket") == F.col("_b")]
+    on = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)] + [F.col("_bucket") == F.col("_b")]
     return (
         dealt.withColumn("_i", F.row_number().over(inside))
         .join(starts, on, "left")

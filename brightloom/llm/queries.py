@@ -59,5 +59,11 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), size=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brightloom.llm.sharding import shards_by_labels
+
+    return shards_by_labels(_documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
