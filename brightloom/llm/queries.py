@@ -65,5 +65,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards_by_labels(_documents(spark, sf_dir))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brightloom.llm.htmlmain import extract
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
