@@ -72,5 +72,11 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brightloom.llm.licenses import scan
+
+    return scan(_documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from brightloom.llm.licenses import PERCENT, SHINGLE, TEMPLATES, size_class, template_shingles
 from brightloom.llm.quality import STOP_WORDS
 from brightloom.llm.secrets import RULES
 
@@ -91,5 +92,26 @@ FROM documents LEFT JOIN g USING (doc_id)
 """
 
 
+def _op7() -> str:
+    rows = [(name, size_class(len(g)), len(g), x) for name, g in template_shingles(TEMPLATES).items() for x in g]
+    values = ", ".join(f"('{a}', {b}, {c}, '{x}')" for a, b, c, x in rows)
+    return rf"""
+WITH t(license, cls, n_template, gram) AS (VALUES {values}), d AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, i - 1 AS i, list_aggregate(w[i:i + {SHINGLE - 1}], 'string_agg', ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM d WHERE len(w) >= {SHINGLE})
+), hit AS (
+  SELECT doc_id, license, cls, n_template, gram, unnest([i // cls - 1, i // cls]) AS nth FROM g JOIN t USING (gram)
+), win AS (
+  SELECT doc_id, license, cls, n_template, nth, count(DISTINCT gram) AS n FROM hit WHERE nth >= 0
+  GROUP BY ALL HAVING count(DISTINCT gram) * 100 >= n_template * {PERCENT}
+)
+SELECT doc_id, license, max(n)::BIGINT AS n_matched, n_template::BIGINT AS n_template,
+       (arg_max(nth, n * 1000000 - nth) * cls)::BIGINT AS first_word, count(*) AS n_windows
+FROM win GROUP BY doc_id, license, n_template, cls
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": OP1, "op9_secrets": _op9()}
+    return {"op1_quality": OP1, "op7_licenses": _op7(), "op9_secrets": _op9()}
