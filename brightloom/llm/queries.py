@@ -78,5 +78,11 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_documents(spark, sf_dir))
 
 
+def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brightloom.llm.linededup import dedup_lines
+
+    return dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}

@@ -113,5 +113,32 @@ FROM win GROUP BY doc_id, license, n_template, cls
 """
 
 
+#: Runs of lines by their whole text, from each line on and up to each line until they have 50 words.
+OP3 = r"""
+WITH l AS (
+  SELECT doc_id, i, x, sum(len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY i) AS c,
+         len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i
+        FROM documents WHERE text <> '')
+), r AS (
+  SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c - a.c + a.n >= 50 GROUP BY ALL
+  UNION
+  SELECT b.doc_id, max(a.i) AS s, b.i AS e FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c - a.c + a.n >= 50 GROUP BY b.doc_id, b.i
+), t AS (
+  SELECT doc_id, s, e, array_to_string(string_split(text, chr(10))[s:e], chr(10)) AS run FROM r JOIN documents USING (doc_id)
+), late AS (
+  SELECT doc_id, s, e FROM t QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, s) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM late
+), kept AS (
+  SELECT l.doc_id, string_agg(x, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS text, count(*) AS n_lines, count(g.i) AS n_deleted
+  FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
+)
+SELECT d.doc_id, CASE WHEN n_lines IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text,
+       coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": OP1, "op7_licenses": _op7(), "op9_secrets": _op9()}
+    return {"op1_quality": OP1, "op3_linededup": OP3, "op7_licenses": _op7(), "op9_secrets": _op9()}
