@@ -106,5 +106,16 @@ def ranked(df: DataFrame, keys: Sequence[str], order: str, rank: str, rows: int)
     )
 
 
+def boxed(docs: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` as columns and all others in a struct, where their names can't clash with an operator's."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in keep]
+    return docs.select(*keep, F.struct(*rest, F.lit(True).alias("_")).alias("_doc"))
+
+
+def unboxed(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
+    """``columns`` in that order: ``keep`` from the operator, the others out of the struct."""
+    return df.select(*[F.col(c) if c in keep else F.col(f"_doc.`{c}`").alias(c) for c in columns])
+
+
 def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)

@@ -142,9 +142,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
     table = stored(docs.select(*rest).withColumns({"_rid": F.monotonically_increasing_id(), "_order": order}), "documents")
-    cuts = stored(repeated_runs(table, min_words).groupBy("rid").agg(F.collect_list(F.struct("start", "length")).alias("_cuts")), "cuts")
+    cuts = stored(repeated_runs(table, min_words).groupBy(F.col("rid").alias("_r")).agg(F.collect_list(F.struct("start", "length")).alias("_cuts")), "cuts")
     cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_ROWS else cuts
-    joined = table.join(cuts, F.col("_rid") == F.col("rid"), "left").select(*rest, "_cuts")
+    joined = table.join(cuts, F.col("_rid") == F.col("_r"), "left").select(*rest, "_cuts")
     schema = T.StructType([docs.schema[c] for c in rest]).add("n_lines", "long").add("n_deleted", "long")
 
     def run(batches: Iterable) -> Iterator:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightloom.llm.common import discard, require, stored
+from brightloom.llm.common import boxed, discard, require, stored, unboxed
 from brightloom.llm.components import components
 
 ROWS, BANDS, SEED = 5, 32, 20240501
@@ -253,6 +253,7 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     by_key = verdicts.groupBy("doc_id", "tkey").agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.col("stays").cast("int")).alias("_stay"))
     changed = stored(by_key.where("_rows > _stay").select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"), "_stay"), "dropped")
     hint = F.broadcast(changed) if changed.count() <= BROADCAST_ROWS else changed
-    joined = docs.withColumn("_k", F.xxhash64("text")).join(hint, (F.col("_k") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    joined = boxed(docs, "doc_id", "text").withColumn("_k", F.xxhash64("text")).join(hint, (F.col("_k") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     once = joined.where("_stay = 1").dropDuplicates(["_k", "doc_id"])
-    return joined.where("_stay is null").select(*docs.columns).unionByName(once.select(*docs.columns))
+    both = joined.where("_stay is null").unionByName(once)
+    return unboxed(both, docs.columns, "doc_id", "text")

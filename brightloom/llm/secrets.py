@@ -28,7 +28,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import let, require, stored
+from brightloom.llm.common import boxed, let, require, stored, unboxed
 
 #: Candidates of at most so many rows (16 bytes each) are broadcast.
 BROADCAST_ROWS = 250_000
@@ -214,7 +214,6 @@ def spans_text(spans: Column, rules: tuple[SecretRule, ...] = RULES) -> Column:
 
 def redact(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, mark: str = "[secret]", id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every span in ``text`` replaced by ``mark``; overlapping spans give one mark. Nulls stay null."""
-    columns = docs.columns
 
     def cut(acc: Column, s: Column) -> Column:
         ahead = s["start"] >= acc["at"]
@@ -225,4 +224,5 @@ def redact(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, mark: str = "
     first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     end = lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text)))
     clean = F.when(F.size("spans") > 0, F.aggregate("spans", first, cut, end)).otherwise(F.col(text))
-    return scan(docs, rules, id_column, text).withColumn(text, clean).select(*columns)
+    found = scan(boxed(docs, id_column, text), rules, id_column, text).withColumn(text, clean)
+    return unboxed(found, docs.columns, id_column, text)
