@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brightloom.functions.arrays import let
+
 TAG = r"^(?:O|[BI]-[a-z][a-z0-9]*(?:-[a-z0-9]+)*)\z"
 TAG_BIOES = r"^(?:O|[BIES]-[a-z][a-z0-9]*(?:-[a-z0-9]+)*)\z"
 SPANS = "array<struct<label:string,start:int,end:int>>"
@@ -46,6 +48,10 @@ def _continues(a: Column, b: Column, starts: tuple[str, ...]) -> Column:
 
 def is_valid_sequence(tags: Column, bioes: bool = False) -> Column:
     """Each tag is legal and follows a tag it may follow; with BIOES open spans also end."""
+    return F.coalesce(let(tags, lambda t: _valid(t, bioes)), F.lit(False))
+
+
+def _valid(tags: Column, bioes: bool) -> Column:
     legal = F.forall(tags, lambda t: is_valid_tag(t, bioes))
     at = F.transform(tags, lambda t, i: F.struct(t.alias("t"), _before(tags, i).alias("p"), _after(tags, i).alias("n")))
     if not bioes:
@@ -54,13 +60,13 @@ def is_valid_sequence(tags: Column, bioes: bool = False) -> Column:
         inner = lambda x: ~prefix(x["t"]).isin("I", "E") | _continues(x["p"], x["t"], ("B", "I"))
         ends = lambda x: ~prefix(x["t"]).isin("B", "I") | (prefix(x["n"]).isin("I", "E") & _continues(x["t"], x["n"], ("B", "I")))
         good = F.forall(at, lambda x: inner(x) & ends(x))
-    return F.coalesce(legal & good, F.lit(False))
+    return legal & good
 
 
 def promoted(tags: Column) -> Column:
     """Repair by promotion: an I that continues nothing begins a span. Only the tag before counts."""
-    stray = lambda t, i: (prefix(t) == "I") & ~_continues(_before(tags, i), t, ("B", "I"))
-    return F.transform(tags, lambda t, i: F.when(stray(t, i), F.concat(F.lit("B-"), F.substring(t, 3, 1 << 20))).otherwise(t))
+    stray = lambda a, t, i: (prefix(t) == "I") & ~_continues(_before(a, i), t, ("B", "I"))
+    return let(tags, lambda a: F.transform(a, lambda t, i: F.when(stray(a, t, i), F.concat(F.lit("B-"), F.substring(t, 3, 1 << 20))).otherwise(t)))
 
 
 def dropped(tags: Column) -> Column:
@@ -89,32 +95,37 @@ def repaired(tags: Column, policy: str = "strict") -> Column:
 
 def spans(tags: Column) -> Column:
     """Spans of a valid BIO sequence; neighbours of one label stay apart."""
-    size = F.size(tags)
-    # The last place at or before which a span is open, from the right: where the run of I's after each place ends.
-    marked = F.filter(F.transform(tags, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: prefix(x["t"]) != "I")
-    ends = F.transform(marked, lambda x, k: F.struct(x["t"].alias("t"), x["i"].alias("i"), F.coalesce(F.get(marked, k + 1)["i"], size).alias("end")))
-    begun = F.filter(ends, lambda x: prefix(x["t"]) == "B")
-    return F.transform(begun, lambda x: F.struct(F.substring(x["t"], 3, 1 << 20).alias("label"), x["i"].cast("int").alias("start"), x["end"].cast("int").alias("end")))
+    # Between two tags other than I lies the run of I's that the first of them goes on with.
+    not_i = lambda a: F.filter(F.transform(a, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: prefix(x["t"]) != "I")
+
+    def spans_of(a: Column, marked: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(marked, k + 1)["i"], F.size(a)).cast("int")
+        each = F.transform(marked, lambda x, k: F.struct(x["t"].alias("t"), x["i"].alias("i"), end(k).alias("end")))
+        begun = F.filter(each, lambda x: prefix(x["t"]) == "B")
+        return F.transform(begun, lambda x: F.struct(F.substring(x["t"], 3, 1 << 20).alias("label"), x["i"].cast("int").alias("start"), x["end"].alias("end")))
+
+    return let(tags, lambda a: let(not_i(a), lambda m: spans_of(a, m)))
 
 
 def tags_of_spans(found: Column, n_tokens: Column) -> Column:
     """The BIO sequence of sorted disjoint spans."""
 
-    def tag(i: Column) -> Column:
-        over = F.filter(found, lambda s: (s["start"] <= i) & (i < s["end"]))
+    def tag(f: Column, i: Column) -> Column:
+        over = F.filter(f, lambda s: (s["start"] <= i) & (i < s["end"]))
         kind = F.when(F.get(over, F.lit(0))["start"] == i, F.lit("B-")).otherwise(F.lit("I-"))
         return F.when(F.size(over) == 0, F.lit("O")).otherwise(F.concat(kind, F.get(over, F.lit(0))["label"]))
 
-    return F.when(n_tokens > 0, F.transform(F.sequence(F.lit(0), n_tokens - 1), tag)).otherwise(F.array().cast("array<string>"))
+    every = let(found, lambda f: F.transform(F.sequence(F.lit(0), n_tokens - 1), lambda i: tag(f, i)))
+    return F.when(n_tokens > 0, every).otherwise(F.array().cast("array<string>"))
 
 
 def bio_to_bioes(tags: Column) -> Column:
-    def change(t: Column, i: Column) -> Column:
-        last = prefix(_after(tags, i)) != "I"
+    def change(a: Column, t: Column, i: Column) -> Column:
+        last = prefix(_after(a, i)) != "I"
         kind = F.when((prefix(t) == "B") & last, F.lit("S")).when((prefix(t) == "I") & last, F.lit("E")).otherwise(prefix(t))
         return F.when(t == "O", t).otherwise(F.concat(kind, F.lit("-"), F.substring(t, 3, 1 << 20)))
 
-    return F.transform(tags, change)
+    return let(tags, lambda a: F.transform(a, lambda t, i: change(a, t, i)))
 
 
 def bioes_to_bio(tags: Column) -> Column:
@@ -136,7 +147,7 @@ def partial_credit(gold: Column, pred: Column) -> Column:
         worth = F.when((g["s"]["label"] == p["s"]["label"]) & (shared > 0), -shared / union)
         return F.struct(worth.alias("n"), g["i"].alias("g"), p["i"].alias("p"))
 
-    grid = F.flatten(F.transform(numbered(gold), lambda g: F.transform(numbered(pred), lambda p: pair(g, p))))
+    grid = let(numbered(pred), lambda ps: F.flatten(F.transform(numbered(gold), lambda g: F.transform(ps, lambda p: pair(g, p)))))
     pairs = F.sort_array(F.filter(grid, lambda x: x["n"].isNotNull()))
     none = F.array().cast("array<int>")
     start = F.struct(none.alias("g"), none.alias("p"), F.lit(0.0).alias("c"))
@@ -151,16 +162,16 @@ def partial_credit(gold: Column, pred: Column) -> Column:
 
 def frame_tags(tags: Column, frame_tokens: Column) -> Column:
     """Token tags lifted to frames; -1 is a gap."""
-    return F.transform(frame_tokens, lambda k: F.when(k < 0, F.lit("O")).otherwise(F.get(tags, k.cast("int"))))
+    return let(tags, lambda a: F.transform(frame_tokens, lambda k: F.when(k < 0, F.lit("O")).otherwise(F.get(a, k.cast("int")))))
 
 
 def frame_span_tags(tags: Column, frame_tokens: Column) -> Column:
     """Each token span as one frame span, from its first covered frame to its last, gaps included."""
     placed = F.transform(frame_tokens, lambda k, i: F.struct(k.alias("k"), i.alias("i")))
 
-    def lifted(s: Column) -> Column:
-        over = F.transform(F.filter(placed, lambda x: (x["k"] >= s["start"]) & (x["k"] < s["end"])), lambda x: x["i"])
+    def lifted(s: Column, at: Column) -> Column:
+        over = F.transform(F.filter(at, lambda x: (x["k"] >= s["start"]) & (x["k"] < s["end"])), lambda x: x["i"])
         return F.struct(s["label"].alias("label"), F.array_min(over).alias("start"), (F.array_max(over) + 1).alias("end"))
 
-    found = F.filter(F.transform(spans(tags), lifted), lambda s: s["start"].isNotNull())
+    found = F.filter(let(placed, lambda at: F.transform(spans(tags), lambda s: lifted(s, at))), lambda s: s["start"].isNotNull())
     return tags_of_spans(found, F.size(frame_tokens))

@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from brightloom.functions.arrays import let
 
 #: On text of these characters alone, the built-in form of ``normalised`` equals full NFKC and case folding.
 SIMPLE = r"^[\x{00}-\x{7F}\x{A1}-\x{A7}\x{A9}\x{AB}\x{AC}\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{12F}\x{132}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2023}]*\z"
@@ -24,11 +27,15 @@ def _full(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("string")
-def normalised_full(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def normalised_full(text: Column) -> Column:
     """NFKC, case folding, then without white space, punctuation, separators and control characters."""
-    for t in texts:
-        yield _full(t)
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in texts:
+            yield _full(t)
+
+    run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, StringType())(text)
 
 
 def normalised(text: Column) -> Column:
@@ -44,7 +51,8 @@ def text_hash(normal: Column) -> Column:
 def gram_buckets(normal: Column, size: int = 3) -> Column:
     """The bucket (0 to 255) of each gram; a shorter text is one gram, an empty one has none."""
     n = F.length(normal)
-    grams = F.when(n >= size, F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.substring(normal, i, F.lit(size)))).when(n > 0, F.array(normal))
+    cut = let(normal, lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - (size - 1)), lambda i: F.substring(t, i, F.lit(size))))
+    grams = F.when(n >= size, cut).when(n > 0, F.array(normal))
     bucket = lambda g: F.conv(F.substring(F.sha2(F.concat(F.lit('"'), g, F.lit('"')), 256), 7, 2), 16, 10).cast("int")
     return F.coalesce(F.transform(grams, bucket), F.array().cast("array<int>"))
 

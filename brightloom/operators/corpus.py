@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from brightloom.core.canonical import derive_seed, make_rng
 from brightloom.core.errors import ValidationError
 from brightloom.functions import text as tx
+from brightloom.functions.arrays import let
 
 SPLITS = ("train", "dev", "test")
 # Instruction templates and issue names.
@@ -39,21 +40,29 @@ def exact_duplicates(rows: DataFrame, id_column: str, normal: Column) -> DataFra
 
 def gram_vectors(rows: DataFrame, id_column: str, normal: Column) -> DataFrame:
     """(id, bucket, n): counts of gram buckets, 256 at most for a row, counted in the row."""
-    grams = rows.select(F.col(id_column).alias("id"), F.sort_array(tx.gram_buckets(normal)).alias("g"))
-    # Runs of a sorted array: where a value begins and where the next does.
-    starts = F.filter(F.transform("g", lambda x, i: F.struct(x.alias("b"), i.alias("i"), F.get("g", i - 1).alias("p"))), lambda s: s["p"].isNull() | (s["p"] != s["b"]))
-    staged = grams.select("id", F.size("g").alias("n"), starts.alias("s"))
-    counts = F.transform("s", lambda s, k: F.struct(s["b"].alias("bucket"), (F.coalesce(F.get("s", k + 1)["i"], F.col("n")) - s["i"]).cast("long").alias("n")))
-    return staged.select("id", F.explode(counts).alias("x")).select("id", "x.bucket", "x.n")
+    grams = F.sort_array(tx.gram_buckets(normal))
+
+    def counts(g: Column) -> Column:
+        """Runs of the sorted buckets: a run ends where the next begins."""
+        placed = F.transform(g, lambda x, i: F.struct(x.alias("bucket"), i.alias("i"), F.coalesce(F.get(g, i - 1), F.lit(-1)).alias("p")))
+        starts = F.filter(placed, lambda s: s["p"] != s["bucket"])
+        n = lambda s, a, k: (F.coalesce(F.get(a, k + 1)["i"], F.size(g)) - s["i"]).cast("long")
+        return let(starts, lambda a: F.transform(a, lambda s, k: F.struct(s["bucket"].alias("bucket"), n(s, a, k).alias("n"))))
+
+    return rows.select(F.col(id_column).alias("id"), F.explode(let(grams, counts)).alias("x")).select("id", "x.bucket", "x.n")
 
 
 def feature_vector(normal: Column) -> Column:
     """The dense vector of 256 bucket counts, scaled to length 1 (all zero for empty text)."""
     grams = tx.gram_buckets(normal)
     zero = F.array_repeat(F.lit(0.0), 256)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.size(F.filter(grams, lambda g: g == b)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm == 0, zero).otherwise(F.transform(counts, lambda x: x / norm))
+    counts = let(grams, lambda a: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.size(F.filter(a, lambda g: g == b)).cast("double")))
+
+    def scaled(c: Column) -> Column:
+        norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+        return let(norm, lambda n: F.when(n == 0, zero).otherwise(F.transform(c, lambda x: x / n)))
+
+    return let(counts, scaled)
 
 
 def near_duplicate_pairs(vectors: DataFrame, threshold: float = 0.9, id_column: str = "id", vector: str = "vector", pivots: int = 3) -> DataFrame:
