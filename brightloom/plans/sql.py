@@ -147,7 +147,7 @@ seg AS (
   SELECT l_orderkey, l_linenumber, (l_quantity * 20)::BIGINT AS n, row_number() OVER w - 1 AS idx, sum((l_quantity * 20)::BIGINT + 320) OVER w AS e
   FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)
 ), tot AS (SELECT l_orderkey, max(e) + 320 AS total FROM seg GROUP BY 1),
-fr AS (SELECT l_orderkey, unnest(range(0, CASE WHEN total < 400 THEN 0 ELSE (total - 400) // 160 + 1 END)) AS f FROM tot),
+fr AS (SELECT l_orderkey, unnest(range(0, CASE WHEN total < 400 THEN 0 ELSE ((total - 400) // 160 + 1)::BIGINT END)) AS f FROM tot),
 hit AS (
   SELECT fr.l_orderkey, f, coalesce(idx, -1)::BIGINT AS token FROM fr
   LEFT JOIN seg ON seg.l_orderkey = fr.l_orderkey AND f * 160 + 200 >= e - n AND f * 160 + 200 < e
