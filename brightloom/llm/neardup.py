@@ -160,7 +160,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _pivot_pairs(members: DataFrame, percent: int, salt: int | None = None, label: DataFrame | None = None) -> DataFrame:
     """Each bucket's members with its pivot; with ``label`` only across components."""
-    order = F.col("v") if salt is None else F.xxhash64("v", "key", F.lit(salt))
+    # One order for all buckets, so that a pair meets in many of them and is tested once.
+    order = F.col("v") if salt is None else F.xxhash64("v", F.lit(salt))
     pivots = (
         members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "v", "n")).alias("p"), F.count(F.lit(1)).alias("m"))
         .where("m > 1").select(F.col("key").alias("pk"), F.col("p.v").alias("pv"), F.col("p.n").alias("pn"))
