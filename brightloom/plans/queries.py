@@ -151,7 +151,7 @@ def gram_vector(spark, sf_dir):
 
 
 def near_duplicate_pairs(spark, sf_dir):
-    return corpus.near_duplicate_pairs(table(spark, sf_dir, "embeddings"), 0.9, "vec_id", "embedding").select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return corpus.near_duplicate_pairs(table(spark, sf_dir, "embeddings"), 0.4, "vec_id", "embedding").select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 def turn_structure(spark, sf_dir):
@@ -242,9 +242,9 @@ def count_by(spark, sf_dir):
 
 def _segments(spark, sf_dir):
     """Lines of an order as segments, laid end to end with a gap of 320 samples; length by quantity."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     n = (F.col("l_quantity") * 20).cast("long")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", n.alias("n"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", n.alias("n"))
     return li.withColumns({"idx": F.row_number().over(w) - 1, "end": F.sum(F.col("n") + 320).over(w)}).withColumn("start", F.col("end") - F.col("n"))
 
 

@@ -145,7 +145,7 @@ FROM conversations WHERE role = 'assistant'
 SEGMENTS = """
 seg AS (
   SELECT l_orderkey, l_linenumber, (l_quantity * 20)::BIGINT AS n, row_number() OVER w - 1 AS idx, sum((l_quantity * 20)::BIGINT + 320) OVER w AS e
-  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)
 ), tot AS (SELECT l_orderkey, max(e) + 320 AS total FROM seg GROUP BY 1),
 fr AS (SELECT l_orderkey, unnest(range(0, CASE WHEN total < 400 THEN 0 ELSE ((total - 400) // 160 + 1)::BIGINT END)) AS f FROM tot),
 hit AS (
@@ -196,7 +196,7 @@ def oracle_sql() -> dict[str, str]:
         "text_hash": f"SELECT doc_id, {HASH} AS text_hash FROM documents",
         "exact_duplicate_groups": f"WITH h AS (SELECT doc_id, {HASH} AS text_hash FROM documents), g AS (SELECT text_hash, min(doc_id) AS first_id, count(*) AS n FROM h GROUP BY 1 HAVING count(*) > 1) SELECT doc_id, text_hash, first_id, n FROM h JOIN g USING (text_hash)",
         "gram_vector": GRAMS,
-        "near_duplicate_pairs": "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.9",
+        "near_duplicate_pairs": "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4",
         "turn_structure": TURN_RULES,
         "quality_flags": FLAGS,
         "quality_report": f"SELECT issue, count(*) AS n FROM (SELECT unnest(string_split(CASE WHEN issues = '' THEN 'ok' ELSE issues END, ',')) AS issue FROM ({FLAGS})) GROUP BY 1",
@@ -226,5 +226,6 @@ def oracle_sql() -> dict[str, str]:
         "dataset_split_counts": f"WITH {SPLIT} SELECT s.split, count(sp.split) AS n FROM (VALUES ('train'), ('dev'), ('test'), ('none')) s(split) LEFT JOIN sp ON sp.split = s.split GROUP BY 1",
         "stream_frames": "SELECT event_id, p::BIGINT AS pushed, CASE WHEN p - 5120 < 400 THEN 0 ELSE (p::BIGINT - 5120 - 400) // 160 + 1 END AS committed FROM (SELECT event_id, sum(trunc(abs(value) * 100)::BIGINT + 160) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)",
         "stream_intent": STREAM,
+        "stream_session": "SELECT user_id, count(*) AS chunks, p::BIGINT AS pushed, CASE WHEN p - 5120 < 400 THEN 0 ELSE (p - 5120 - 400) // 160 + 1 END::BIGINT AS committed, CASE WHEN p < 400 THEN 0 ELSE (p - 400) // 160 + 1 END::BIGINT AS final_frames FROM (SELECT user_id, sum(trunc(abs(value) * 100)::BIGINT + 160) OVER (PARTITION BY user_id)::BIGINT AS p FROM events) GROUP BY user_id, p",
         "flagship": f"WITH {EV}, {SP} SELECT label, count(*) AS n_spans, sum(e - s)::BIGINT AS n_tokens FROM gs GROUP BY 1",
     }

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 def log_mel_columns(rows: DataFrame, samples: str = "samples", **config) -> DataFrame:
     """``rows`` with ``mel`` (array of frames) instead of the samples; null samples give null."""
     rest = [c for c in rows.columns if c not in (samples, "mel")]
-    schema = T.StructType([rows.schema[c] for c in rest]).add("mel", "array<array<float>>")
+    schema = T.StructType([rows.schema[c] for c in rest]).add("mel", T.ArrayType(T.ArrayType(T.FloatType())))
 
     def run(batches: Iterable) -> Iterator:
         import numpy as np
