@@ -78,7 +78,7 @@ def near_duplicate_pairs(vectors: DataFrame, threshold: float = 0.9, id_column:
     as_double = F.transform(F.col(vector), lambda x: x.cast("double"))
     base = vectors.select(F.col(id_column).alias("id"), as_double.alias("v"))
     base = base.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).where("norm > 0")
-    unit = base.select("id", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
+    unit = base.select("id", F.transform("v", lambda x: F.try_divide(x, F.col("norm"))).alias("v"))
     # Pivot k: the sum of each pivots-th axis, from k on; the angle needs no pass over the data.
     along = lambda k: F.aggregate(F.filter(F.col("v"), lambda x, i: i % pivots == k), F.lit(0.0), lambda s, x: s + x) / F.sqrt(F.ceil((F.size("v") - k) / pivots).cast("double"))
     cell = lambda k: F.floor(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), along(k)))) / width).cast("int")

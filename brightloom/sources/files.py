@@ -37,7 +37,7 @@ def write_jsonl(rows: DataFrame, path: str, overwrite: bool = False) -> None:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([canonical_dumps(r) for r in batch.to_pylist()], pa.string())], ["value"])
 
-    rows.mapInArrow(run, "value string").write.mode("overwrite" if overwrite else "errorifexists").text(path)
+    rows.mapInArrow(run, T.StructType().add("value", T.StringType())).write.mode("overwrite" if overwrite else "errorifexists").text(path)
 
 
 def read_wav_folder(spark: SparkSession, path: str, max_bytes: int = MAX_WAV_BYTES) -> DataFrame:
