@@ -15,7 +15,10 @@ from brightloom.functions.arrays import let
 
 SPLITS = ("train", "dev", "test")
 # Instruction templates and issue names.
-SYSTEM_TEXT = {"zh": "你是口语理解助手。", "en": "You are a spoken language understanding assistant."}
+SYSTEM_TEXT = {
+    "zh": "你是语音助手。听用户的语音，识别{domain}领域的意图和槽位。",
+    "en": "You are a speech assistant. Listen to the user's audio and identify the intent and slots for the {domain} domain.",
+}
 ANSWERS = {"zh": "意图：{intent}；槽位：{slots}", "en": "Intent: {intent}; Slots: {slots}"}
 NO_SLOTS = {"zh": "无", "en": "none"}
 ISSUES = ("duration-out-of-bounds", "snr-below-minimum", "answer-not-canonical")
