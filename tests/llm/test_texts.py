@@ -53,6 +53,8 @@ def test_quality_measures(odd, none):
         by[r["text"]] = r
     assert by["x " * 200]["base_failed"]
     assert quality(none).count() == 0
+    # The words of the long text would be split again for each of them if this filter went below the measures.
+    assert quality(odd.select("doc_id", "text")).where("kept").count() == sum(r["kept"] for r in got)
 
 
 def test_packing(odd, none, spark):
