@@ -204,7 +204,7 @@ def mixing_quotas(spark, sf_dir):
 def mix_samples(spark, sf_dir):
     d = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("source"), F.col("c_custkey").alias("sample_id"))
     names = sorted(r["source"] for r in d.select("source").distinct().collect())
-    return corpus.mix_samples(d, {n: float(k + 1) for k, n in enumerate(names)}, 100, 7).select("source", "sample_id", F.col("position").cast("long").alias("position"))
+    return corpus.mix_samples(d, {n: float(k + 1) for k, n in enumerate(names)}, 60, 7).select("source", "sample_id", F.col("position").cast("long").alias("position"))
 
 
 def split_assign(spark, sf_dir):
