@@ -158,28 +158,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _pivot_pairs(members: DataFrame, percent: int, salt: int | None = None, label: DataFrame | None = None) -> DataFrame:
-    """Each bucket's members with its pivot; with ``label`` only across components."""
-    # One order for all buckets, so that a pair meets in many of them and is tested once.
-    order = F.col("v") if salt is None else F.xxhash64("v", F.lit(salt))
+def _pivot_pairs(members: DataFrame, percent: int, salt: int | None = None) -> DataFrame:
+    """Each bucket's members with its pivot; where ``members`` has components ``r``, only across them."""
+    order = F.col("v") if salt is None else F.xxhash64("v", "key", F.lit(salt))
+    root = F.col("r") if "r" in members.columns else F.col("v")
+    members = members.select("key", "v", "n", root.alias("r"))
     pivots = (
-        members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "v", "n")).alias("p"), F.count(F.lit(1)).alias("m"))
-        .where("m > 1").select(F.col("key").alias("pk"), F.col("p.v").alias("pv"), F.col("p.n").alias("pn"))
+        members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "v", "n", "r")).alias("p"), F.count(F.lit(1)).alias("m"))
+        .where("m > 1").select(F.col("key").alias("pk"), F.col("p.v").alias("pv"), F.col("p.n").alias("pn"), F.col("p.r").alias("pr"))
     )
-    pairs = members.join(pivots, F.col("key") == F.col("pk")).where((F.col("v") != F.col("pv")) & _close_in_size(percent))
-    pairs = pairs.select(F.least("v", "pv").alias("a"), F.greatest("v", "pv").alias("b")).distinct()
-    if label is None:
-        return pairs
-    la, lb = label.select(F.col("v").alias("x"), F.col("root").alias("ra")), label.select(F.col("v").alias("y"), F.col("root").alias("rb"))
-    marked = pairs.join(la, F.col("a") == F.col("x"), "left").join(lb, F.col("b") == F.col("y"), "left")
-    return marked.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    pairs = members.join(pivots, F.col("key") == F.col("pk")).where((F.col("r") != F.col("pr")) & _close_in_size(percent))
+    return pairs.select(F.least("v", "pv").alias("a"), F.greatest("v", "pv").alias("b")).distinct()
+
+
+def _marked(members: DataFrame, label: DataFrame) -> DataFrame:
+    """``members`` with the component ``r`` of each."""
+    joined = members.join(label.withColumnRenamed("v", "x"), F.col("v") == F.col("x"), "left")
+    return joined.select(*members.columns, F.coalesce("root", "v").alias("r"))
 
 
-def _mixed_buckets(members: DataFrame, label: DataFrame) -> DataFrame:
+def _mixed_buckets(marked: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one component."""
-    marked = members.join(label.withColumnRenamed("v", "x"), F.col("v") == F.col("x"), "left").select("key", "v", F.coalesce("root", "v").alias("r"))
     mixed = marked.groupBy("key").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
-    return members.join(mixed, F.col("key") == F.col("k"), "left_semi")
+    return marked.join(mixed, F.col("key") == F.col("k"), "left_semi")
 
 
 def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame | None:
@@ -200,13 +201,13 @@ def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFra
         label = stored(docs.sparkSession.range(0).select(F.col("id").alias("v"), F.col("id").alias("root")), "roots")
     else:
         label = stored(components(links), "roots")
-    rest = stored(_mixed_buckets(members, label).select("v").distinct().withColumnRenamed("v", "x"), "mixed")
+    rest = stored(_mixed_buckets(_marked(members, label)).select("v").distinct().withColumnRenamed("v", "x"), "mixed")
     if not rest.isEmpty():
         fine = stored(_fine_bands(sets.join(rest, F.col("v") == F.col("x"), "left_semi")), "members")
         idle, salt = 0, 0
         while idle < 2:
             salt += 1
-            pairs = stored(_pivot_pairs(_mixed_buckets(fine, label), percent, salt, label), "pairs")
+            pairs = stored(_pivot_pairs(_mixed_buckets(_marked(fine, label)), percent, salt), "pairs")
             more = stored(_verified(stored(_signature_pass(pairs, wanted, percent), "pairs"), sets, percent), "links")
             if more.isEmpty():
                 idle += 1
