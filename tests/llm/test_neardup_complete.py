@@ -1,8 +1,12 @@
 """Near-duplicate links that passes with pivots alone do not meet."""
 
+import itertools
+import random
+
 import pytest
 
 pytest.importorskip("brightloom.llm.queries")
+from test_groups import brute_components  # noqa: E402
 
 
 def test_pivots_differ_from_bucket_to_bucket(spark):
@@ -11,3 +15,28 @@ def test_pivots_differ_from_bucket_to_bucket(spark):
     members = spark.createDataFrame([(key, v, 100, v) for key in range(40) for v in range(6)], "key bigint, v bigint, n bigint, r bigint")
     pairs = {(r["a"], r["b"]) for r in _pivot_pairs(members, 80, 1).collect()}
     assert pairs == {(a, b) for a in range(6) for b in range(a + 1, 6)}
+
+
+def test_no_link_of_a_noisy_family_is_lost(spark):
+    """600 copies of one text with a twentieth of the words replaced: most pairs are just below the threshold."""
+    from brightloom.llm.neardup import near_duplicates
+
+    rng, fresh = random.Random(1), itertools.count()
+    base = [f"b{i}" for i in range(120)]
+    rows = [(i, " ".join(f"x{next(fresh)}" if rng.random() < 0.05 else w for w in base)) for i in range(600)]
+    want = {i: c for i, (_, c) in brute_components(rows, 4).items()}
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, 4).collect()}
+    assert got == want
+
+
+def test_every_pair_of_a_mixed_bucket_is_met(spark, monkeypatch):
+    """A bucket of several blocks, and one with the same members."""
+    from brightloom.llm import neardup
+
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    mixed = spark.createDataFrame([(key, v, 100, v // 2) for key in (5, 6) for v in range(90)], "key bigint, v bigint, n bigint, r bigint")
+    sigs = spark.createDataFrame([(v, bytearray(160)) for v in range(90)], "v bigint, sig binary")
+    rows = neardup._pairs_within(mixed, sigs, 80).collect()
+    pairs = {(r["a"], r["b"]) for r in rows}
+    assert len(rows) == len(pairs) and pairs == {(a, b) for a in range(90) for b in range(a + 1, 90) if a // 2 != b // 2}
