@@ -7,9 +7,10 @@ executors share, so a lost executor costs only the tasks it was running.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared scratch folder; only where the session names none, a new temporary one is set."""
+    """This application's folder in the shared one; a temporary folder only where none is named and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="brightloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/brightloom"
+    return f"{base.rstrip('/')}/brightloom-{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -50,7 +53,7 @@ def discard(*tables: DataFrame | None) -> None:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Removes every scratch table of this folder; call it once all results are written."""
+    """Removes this application's scratch tables; call it once all results are written."""
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -106,6 +109,23 @@ def ranked(df: DataFrame, keys: Sequence[str], order: str, rank: str, rows: int)
     )
 
 
+def sliced(batches: Iterable, column: str, size: int = 8 << 20) -> Iterator:
+    """Arrow batches cut so that ``column`` (strings or binary) takes about ``size`` bytes, one row at least."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def boxed(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep`` as columns and all others in a struct, where their names can't clash with an operator's."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in keep]

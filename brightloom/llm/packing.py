@@ -7,7 +7,8 @@ a segment tree over remaining capacities that finds the tightest open bin class
 in logarithmic time. The outcome is a short plan of rows "the n-th to m-th piece
 of this length go into those sequences at that offset". Pieces then get their
 place among those of their length (counted in buckets, no global sort) and join
-the plan, which is bounded by the capacity and broadcast.
+the plan. A plan's rows are bounded by the capacity alone, not by the input; one
+of at most ``BROADCAST_ROWS`` is broadcast, any other joins by a shuffle.
 
 Defined results: a null or empty text has the end id alone. Documents longer
 than ``capacity`` are cut into full pieces, the last may be shorter; no others
@@ -19,16 +20,18 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import batched
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightloom.llm.common import empty, ranked, require, stored
+from brightloom.llm.common import empty, ranked, require, sliced, stored
+from brightloom.llm.tokens import merge_ranks
 
 #: Rows of a plan: pieces ``rank`` .. of ``length`` fill ``bins`` sequences from ``bin``, ``each`` per sequence, from ``offset`` on.
 PLAN = "p_length int, rank_from long, rank_to long, each int, bin long, offset_from int"
+#: Plans of at most so many rows (36 bytes each) are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 class CapacityTree:
@@ -92,18 +95,17 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Documents as pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32 and, if asked, ids."""
     require(docs, "doc_id", "text")
-    end = end_id.to_bytes(4, "little")
+    end, unmade = end_id.to_bytes(4, "little"), merge_ranks(tokenizer)
 
     def cut(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         from brightloom.llm.tokens import word_ids
 
-        vocab = word_ids(tokenizer)
-        for batch in batches:
+        vocab = word_ids(tokenizer, unmade)
+        for batch in sliced(batches, "text"):
             cols: list[list] = [[] for _ in range(5 + with_ids)]
-            texts = (t.as_py() or "" for t in batch["text"])
-            encoded = (ids for some in batched(texts, 256) for ids in vocab.texts(list(some)))
+            encoded = vocab.texts(t.as_py() or "" for t in batch["text"])
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoded, strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
@@ -115,6 +117,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                         cols[5].append(memoryview(part).cast("I").tolist())
             kinds = [batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], names[: len(cols)])
+        vocab.forget()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)])
@@ -133,10 +136,9 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     if bad := [n for n in counts if n is None or not 1 <= n <= capacity]:
         raise ValueError(f"lengths must be 1 to {capacity}: {bad[:5]}")
     rows, _ = plan(counts, capacity)
-    if len(rows) > 64 * capacity:
-        raise ValueError("plan larger than its bound")
     placed = ranked(table, ["length"], "_uid", "_rank", sum(counts.values()))
-    steps = F.broadcast(spark.createDataFrame(rows, PLAN) if rows else empty(spark, PLAN))
+    steps = spark.createDataFrame(rows, PLAN) if rows else empty(spark, PLAN)
+    steps = F.broadcast(steps) if len(rows) <= BROADCAST_ROWS else steps
     nth = F.col("_rank") - F.col("rank_from")
     inside = (F.col("length") == F.col("p_length")) & (F.col("_rank") >= F.col("rank_from")) & (F.col("_rank") < F.col("rank_to"))
     return placed.join(steps, inside).select(

@@ -1,6 +1,9 @@
 """Operators on single texts: edge cases and brute force."""
 
 import re
+import zlib
+from array import array
+from collections import Counter
 from hashlib import sha256
 
 import pytest
@@ -64,20 +67,32 @@ def test_packing(odd, none, spark):
 
     path = P.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
-    packed = pack_documents(odd, path, 2048, with_ids=True).cache()
-    want = sorted(tuple(lib.encode(t or "", add_special_tokens=False).ids) + (0,) for t in [*TEXTS, None])
-    assert packed.groupBy("piece").count().where("piece = 0").first()["count"] == len(want)
-    total = sum(map(len, want))
-    seqs = sequences(packed).collect()
-    assert sum(len(s["ids"]) for s in seqs) == total and all(len(s["ids"]) <= 2048 for s in seqs)
-    for s in seqs:
-        assert s["offsets"][0] == 0
-    long = [r for r in packed.where("doc_id = 2 and text is null").collect()] if "text" in packed.columns else []
-    assert not long
-    whole = {}
-    for r in packed.collect():
-        whole.setdefault((r["doc_id"], r["start"] - r["start"], r["piece"] and r["doc_id"]), []).append(r)
+    marks = [(50, "a <|endoftext|> b"), (51, "x<|startoftext|>Y it's 12 O'Neill's")]
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame(marks, "doc_id bigint, text string"))
+    ids = lambda t: tuple(lib.encode(t or "", add_special_tokens=False).ids) + (0,)
+    assert 49407 in ids(marks[0][1])
+    want = Counter()
+    for doc_id, text in docs.collect():
+        whole = ids(text)
+        for k in range(0, len(whole), 2048):
+            part = whole[k : k + 2048]
+            want[doc_id, k // 2048, k, len(part), zlib.crc32(array("I", part).tobytes()), part] += 1
+    packed = pack_documents(docs, path, 2048, with_ids=True).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"], tuple(r["ids"])) for r in packed) == want
+    places = {}
+    for r in packed:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in places.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    plain = pack_documents(docs, path, 2048).collect()
+    assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in plain) == Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in packed)
+    seqs = sequences(pack_documents(docs, path, 2048, with_ids=True)).collect()
+    assert sorted(len(s["ids"]) for s in seqs) == sorted(sum(n for _, n in p) for p in places.values())
+    assert all(s["offsets"] == sorted(s["offsets"]) and s["offsets"][0] == 0 for s in seqs)
     assert pack_documents(none, path).count() == 0
     with pytest.raises(ValueError):
         pack(spark.createDataFrame([(9,)], "length int"), 8)
@@ -117,12 +132,33 @@ def test_packing_plan_is_best_fit_decreasing():
 
 
 def test_word_ids_equal_the_library(documents):
-    from brightloom.llm.tokens import WordIds
+    from tokenizers import Tokenizer
+
+    from brightloom.llm import tokens
 
-    vocab = WordIds(P.path("word_bpe_49k.json"))
-    hard = ["Don't İ ΑΣ 한글 ½ x²", "'s 'RE naïve — “q” <|endoftext|> a\x85b\x1cc", "ﬁ ǆ é", "", "　a b"]
-    texts = hard + [r["text"] for r in documents.limit(60).collect()]
-    assert list(vocab.texts(texts)) == [vocab.whole(t) for t in texts]
+    path = P.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    unmade = tokens.merge_ranks(path)
+    assert unmade is not None
+    letters = [chr(c) for c in range(0x20, 0x2C0)] + [chr(c) for c in range(0x1E00, 0x1F00)]
+    texts = [t for c in letters for t in (c, f"a{c}b", f"A{c} {c}b{c}")] + ["".join(letters), " ".join(letters), *(t or "" for t in TEXTS)]
+    texts += [r["text"] or "" for r in documents.collect()]
+    texts += ["a <|endoftext|> b", "<|endoftext|", "x<|startoftext|>y", "\x1c a\x1db", "e\u0301 \u0301e", "don't I'LL 'tis 've'", "漢字 かな 😀😀 ١٢٣"]
+    want = [array("I", e.ids).tobytes() for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+    vocab = tokens.WordIds(path, unmade)
+    assert list(vocab.texts(texts)) == want
+    assert list(vocab.texts(texts)) == want  # now from the kept words
+    vocab.held = tokens.KEPT_BYTES + 1  # and from the older generation
+    assert list(vocab.texts(texts)) == want and vocab.old
+    assert list(tokens.WordIds(path, None).texts(texts)) == want  # where merging by ids is not allowed
+
+
+def test_merging_by_ids_is_checked():
+    from brightloom.llm.tokens import _merged
+
+    # "abc" is listed as ab + c, but alone bc comes first: no merging ends in it.
+    order = {("b", "c"): 0, ("a", "b"): 1, ("ab", "c"): 2}
+    assert _merged(["a", "b", "c"], order) == ["a", "bc"]
 
 
 def test_pieces_equal_the_library(odd, documents, none):
