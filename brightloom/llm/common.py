@@ -42,6 +42,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Tables of a few numbers a row are broadcast up to so many rows.
+BROADCAST_ROWS = 300_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a stored table, marked for broadcast if it has at most ``rows`` rows (counted in its files' footers); else the join shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Removes scratch tables that nothing reads any more."""
     for df in tables:

@@ -4,19 +4,25 @@
    its MinHash bands and a signature of one byte per hash.
 2. Equal sets are one class; only a class's first row goes on, so copies cost
    one partial aggregation, however many there are.
-3. In each band bucket every member is paired with one pivot, never with every
-   other member. Pairs pass a size bound, the signature and at last the full
-   sets, recomputed from the texts of candidates alone.
-4. Links make components by alternating large-star and small-star.
-5. Buckets that still hold several components get a second banding with more
-   rows, where only texts close to each other meet; passes with changing pivots
-   go on until one joins no components any more.
-6. In the buckets still mixed then, all pairs across components are tested, block
-   by block of a bucket, so that none stays untested. This is quadratic in the
-   members of such a bucket, but makes rows only of pairs the signatures admit.
+3. Members of a band bucket are compared by signature, all pairs across
+   components, in cells of bounded size. A cell passes on a spanning forest of
+   the pairs that sizes and signatures admit, never the pairs. Buckets with equal
+   members are compared once.
+4. What the forests join is a family: alternating large-star and small-star.
+   Full sets are recomputed from the texts of family members alone and go to the
+   family's cells, where each admitted pair is checked exactly unless the cell
+   has joined its ends already. So no pair that meets in a bucket is left out.
+5. The exact links make components by large-star and small-star again.
+
+A bucket of more than ``BLOCK`` members first pairs each member with one pivot;
+pairs that signatures and full sets confirm are one component from then on, so a
+large group of near copies costs as many pairs as it has members. Only pairs
+across components remain for the cells, and blocks of one component don't meet.
+What stays quadratic is a bucket's members that are alike by signature, but
+linked to nobody.
 
 With 32 bands of 5 rows a pair at similarity 0.8 is missed with probability
-3e-6, with 200 bands of 12 rows 7e-7; pivots lose none.
+3e-6, and by the margin of the signatures with 3e-7; nothing else loses a link.
 
 Defined results: a text without words, or null, has an empty set and links with
 nothing. Equal texts share a component whatever their ids. Null ids stay: a
@@ -28,21 +34,20 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightloom.llm.common import boxed, discard, require, stored, unboxed
+from brightloom.llm.common import boxed, discard, require, sliced, small, stored, unboxed
 from brightloom.llm.components import components
 
 ROWS, BANDS, SEED = 5, 32, 20240501
-FINE_ROWS, FINE_BANDS, FINE_SEED = 12, 200, 20240502
 #: Agreement of signatures, out of ROWS * BANDS bytes, below which a pair at the threshold is 5 deviations off.
 MARGIN = 5.0
-#: Keys of at most so many rows are broadcast (24 bytes each), after a count.
-BROADCAST_ROWS = 500_000
-#: Members of a bucket, or texts of one side of a comparison, that one task meets at once.
-BLOCK = 1024
+#: Members, and shingles of full sets, that a block may have; a cell compares one block or two.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+#: Tables with signatures (some 250 bytes a row) are broadcast up to so many rows.
+SIGNATURE_ROWS = 60_000
 
 
 def _features(docs: DataFrame, size: int) -> DataFrame:
@@ -54,7 +59,7 @@ def _features(docs: DataFrame, size: int) -> DataFrame:
         from brightloom.llm.shingles import MinHash, shingle_set
 
         hashes = MinHash(ROWS, BANDS, SEED)
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             n, c1, c2, bands, sigs = [], [], [], [], []
             for value in batch["text"]:
                 s = shingle_set(value.as_py(), size)
@@ -90,7 +95,7 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
 
         from brightloom.llm.shingles import shingle_set
 
-        for batch in batches:
+        for batch in sliced(batches, "text", 1 << 20):
             sets = [shingle_set(t.as_py(), size) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays(
                 [batch["v"], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["v", "n", "shingles"]
@@ -99,23 +104,6 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("v", "text").mapInArrow(run, "v bigint, n bigint, shingles binary")
 
 
-def _fine_bands(sets: DataFrame) -> DataFrame:
-    def run(batches: Iterable) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        from brightloom.llm.shingles import MinHash
-
-        hashes = MinHash(FINE_ROWS, FINE_BANDS, FINE_SEED)
-        for batch in batches:
-            keys = [hashes.band_keys(hashes.minima(np.frombuffer(s.as_py(), np.uint64))) for s in batch["shingles"]]
-            flat = pa.array(np.concatenate([np.empty(0, np.int64), *keys]))
-            offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * FINE_BANDS)
-            yield pa.RecordBatch.from_arrays([batch["v"], batch["n"], pa.ListArray.from_arrays(offsets, flat)], ["v", "n", "bands"])
-
-    return sets.mapInArrow(run, "v bigint, n bigint, bands array<bigint>")
-
-
 def _close_in_size(percent: int):
     """Two sets can only be similar enough if the smaller has that share of the larger."""
     return F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent
@@ -166,178 +154,208 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _pivot_pairs(members: DataFrame, percent: int, salt: int | None = None) -> DataFrame:
-    """Each bucket's members with its pivot; where ``members`` has components ``r``, only across them."""
-    order = F.col("v") if salt is None else F.xxhash64("v", "key", F.lit(salt))
-    root = F.col("r") if "r" in members.columns else F.col("v")
-    members = members.select("key", "v", "n", root.alias("r"))
-    pivots = (
-        members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "v", "n", "r")).alias("p"), F.count(F.lit(1)).alias("m"))
-        .where("m > 1").select(F.col("key").alias("pk"), F.col("p.v").alias("pv"), F.col("p.n").alias("pn"), F.col("p.r").alias("pr"))
-    )
-    pairs = members.join(pivots, F.col("key") == F.col("pk")).where((F.col("r") != F.col("pr")) & _close_in_size(percent))
-    return pairs.select(F.least("v", "pv").alias("a"), F.greatest("v", "pv").alias("b")).distinct()
+def _agreement(x, y):
+    """How many bytes each row of ``x`` shares with each row of ``y``."""
+    import numpy as np
 
+    out = np.zeros((len(x), len(y)), np.uint8 if x.shape[1] < 256 else np.int32)
+    for a, b in zip(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), strict=True):
+        out += a[:, None] == b
+    return out
 
-def _marked(members: DataFrame, label: DataFrame) -> DataFrame:
-    """``members`` with the component ``r`` of each."""
-    joined = members.join(label.withColumnRenamed("v", "x"), F.col("v") == F.col("x"), "left")
-    return joined.select(*members.columns, F.coalesce("root", "v").alias("r"))
 
+def _admitted(at, n, r, sig, percent: int, least: int):
+    """Square matrix of the pairs of a cell that blocks, components, sizes and signatures admit."""
+    import numpy as np
 
-def _mixed_buckets(marked: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component."""
-    mixed = marked.groupBy("key").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
-    return marked.join(mixed, F.col("key") == F.col("k"), "left_semi")
+    one = at[0] == at
+    left, right = (one, ~one) if not one.all() else (one, one)
+    ok = _agreement(sig[left], sig[right]) >= least
+    small, large = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
+    ok &= (r[left][:, None] != r[right]) & (small * 100 >= large * percent)
+    out = np.zeros((len(at), len(at)), bool)
+    out[np.ix_(left, right)] = ok
+    return out | out.T
+
+
+def _forest(ok):
+    """For each vertex of a symmetric matrix the first vertex of its component."""
+    import numpy as np
 
+    label = np.full(len(ok), -1)
+    for i in range(len(ok)):
+        if label[i] < 0:
+            label[i], front = i, np.array([i])
+            while len(front):
+                front = np.flatnonzero(ok[front].any(axis=0) & (label < 0))
+                label[front] = i
+    return label
+
+
+def _exact_forest(ok, n, sets, percent: int):
+    """As ``_forest`` over the admitted pairs whose full sets are similar enough; pairs already joined need no check."""
+    import numpy as np
+
+    label = np.arange(len(ok))
+    distinct, number = np.unique(np.concatenate(sets), return_inverse=True)
+    numbers, here = np.split(number, np.cumsum(n)[:-1]), np.zeros(len(distinct), np.int32)
+    for x in range(len(ok)):
+        partners = np.flatnonzero(ok[x] & (label != label[x]))
+        if not len(partners):
+            continue
+        here[numbers[x]] = 1
+        for some in np.array_split(partners, min(len(partners), -(-int(n[partners].sum()) // 1_000_000))):
+            both = np.add.reduceat(here[np.concatenate([numbers[t] for t in some])], np.cumsum([0, *n[some][:-1]]))
+            for t in some[100 * both >= percent * (n[x] + n[some] - both)]:
+                label[label == label[t]] = label[x]
+        here[numbers[x]] = 0
+    return label
 
-def _pairs_within(mixed: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) across components that meet in a bucket and that sizes and signatures admit.
 
-    Of buckets with the same members one is taken. Its members are dealt over
-    blocks, and a task meets two blocks at a time, whatever the bucket's size.
+def _dealt(members: DataFrame, weight: Column) -> DataFrame:
+    """``members`` (g, v, r, ...) with lo, hi and at: rows of one (g, lo, hi) are a cell, ``at`` is lo or hi.
+
+    Any two members of a group g from different components r share a cell. A
+    group of weight 1 at most is one cell. In a larger one, components of more
+    than half a block have blocks of their own, all others share blocks; each
+    two blocks are a cell unless both are of one component.
     """
-    k, least = ROWS * BANDS, _least_agreement(percent)
+    loads = members.groupBy("g", "r").agg(F.sum(weight).alias("load"))
+    own = F.ceil(F.when(F.col("load") > 0.5, F.col("load")).otherwise(0.0)).cast("long")
+    rest = F.ceil(F.sum(F.when(F.col("load") <= 0.5, F.col("load")))).cast("long")
+    groups = loads.groupBy("g").agg(F.sum("load").alias("total"), F.coalesce(rest, F.lit(0)).alias("rest")).where("total > 1").select(F.col("g").alias("x"), "rest")
+    groups = stored(groups, "groups")
+    one = [F.lit(0).cast("long").alias(c) for c in ("lo", "hi", "at")]
+    if groups.isEmpty():
+        return members.select("*", *one)
+    block = lambda r, i: F.xxhash64(r, i)
+    shared = F.lit(-1).cast("long")
+    parts = stored(loads.withColumn("own", own).join(small(groups), F.col("g") == F.col("x")).select("g", "r", "own", "rest"), "parts")
+    each = parts.where("own > 0").select("g", "r", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("i"))
+    some = groups.where("rest > 0").select(F.col("x").alias("g"), shared.alias("r"), F.explode(F.sequence(F.lit(1), F.col("rest"))).alias("i"))
+    blocks = stored(each.union(some).select("g", "r", block("r", "i").alias("at")), "blocks")
+    other = blocks.select(F.col("g").alias("g2"), F.col("r").alias("r2"), F.col("at").alias("at2"))
+    two = (F.col("at") < F.col("at2")) & ((F.col("r") != F.col("r2")) | (F.col("r") == shared))
+    pairs = blocks.join(other, F.col("g") == F.col("g2")).where(two | (F.col("at") == F.col("at2")) & (F.col("r") == shared))
+    pairs = stored(pairs.select(F.col("g").alias("pg"), F.explode(F.array_distinct(F.array("at", "at2"))).alias("pa"), F.col("at").alias("lo"), F.col("at2").alias("hi")), "cells")
+    place = parts.select(F.col("g").alias("x"), F.col("r").alias("y"), "own", "rest")
+    placed = members.join(small(place), (F.col("g") == F.col("x")) & (F.col("r") == F.col("y")), "left")
+    nth = lambda k: F.pmod(F.xxhash64("v", F.lit(7)), F.greatest(k, F.lit(1))) + 1
+    at = F.when(F.col("own") > 0, block("r", nth(F.col("own")))).otherwise(block(shared, nth(F.col("rest"))))
+    whole = placed.where("x is null").select(*members.columns, *one)
+    many = placed.where("x is not null").withColumn("at", at).join(small(pairs), (F.col("g") == F.col("pg")) & (F.col("at") == F.col("pa")))
+    return whole.union(many.select(*members.columns, "lo", "hi", "at"))
+
+
+def _cell_links(members: DataFrame, weight: Column, percent: int, sets: DataFrame | None = None) -> DataFrame:
+    """Links (a, b): spanning forests of each cell's pairs, by signatures or, with ``sets``, exactly."""
+    exact, k, least = sets is not None, ROWS * BANDS, _least_agreement(percent)
+    cells = _dealt(members, weight)
+    if exact:
+        cells = sets.join(small(stored(cells, "cells"), SIGNATURE_ROWS), F.col("v") == F.col("y"))
+    columns = ["g", "lo", "hi", "v", "at", "n", "r", "sig", *["shingles"] * exact]
+    cells = cells.select(*columns).repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi", "v")
 
     def run(batches: Iterable) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        names = ("key", "lo", "hi", "i", "v", "n", "r")
-
-        def admitted(i, v, n, r, sig):
-            ok = np.triu((r[:, None] != r) & (np.minimum(n[:, None], n) * 100 >= np.maximum(n[:, None], n) * percent), 1)
-            if (i != i[0]).any():
-                ok &= i[:, None] != i
-            x, y = np.nonzero(ok)
-            for at in range(0, len(x), 50_000):
-                p, q = x[at : at + 50_000], y[at : at + 50_000]
-                good = (sig[p] == sig[q]).sum(axis=1) >= least
-                if good.any():
-                    yield np.sort(np.stack([v[p[good]], v[q[good]]], axis=1), axis=1)
-
-        def batch_of(found):
-            both = np.concatenate(found)
-            both = both[np.lexsort((both[:, 1], both[:, 0]))]
-            new = np.ones(len(both), bool)
-            new[1:] = (both[1:] != both[:-1]).any(axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[new, 0]), pa.array(both[new, 1])], ["a", "b"])
-
-        held, found, rows = None, [], 0
+        def links(rows):
+            v, at, n, r = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[3:7])
+            if len(v) < 2:
+                return
+            sig = np.frombuffer(b"".join([x[7] for x in rows]), np.uint8).reshape(-1, k)
+            ok = _admitted(at, n, r, sig, percent, least)
+            if exact:
+                few = np.flatnonzero(ok.any(axis=0))
+                label = np.arange(len(v))
+                if len(few):
+                    label[few] = few[_exact_forest(ok[np.ix_(few, few)], n[few], [np.frombuffer(rows[i][8], np.uint64) for i in few], percent)]
+            else:
+                label = _forest(ok)
+            moved = np.flatnonzero(label != np.arange(len(v)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(v[label[moved]]), pa.array(v[moved])], ["a", "b"])
+
+        cell, rows = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [batch[c].to_numpy(zero_copy_only=False) for c in names] + [np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint8).reshape(-1, k)]
-            held = now if held is None else [np.concatenate(c) for c in zip(held, now, strict=True)]
-            key, lo, hi = held[:3]
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1).tolist()]
-            for p, q in zip(cuts, cuts[1:], strict=False):
-                for part in admitted(*(c[p:q] for c in held[3:])):
-                    found.append(part)
-                    rows += len(part)
-                if rows >= 500_000:
-                    yield batch_of(found)
-                    found, rows = [], 0
-            held = [c[cuts[-1] :] for c in held]
-        if held is not None:
-            found.extend(admitted(*held[3:]))
-        if found:
-            yield batch_of(found)
-
-    whole = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y"))
-    once = whole.groupBy("m", "x", "y").agg(F.min("key").alias("k")).select("k", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    met = mixed.join(once, F.col("key") == F.col("k")).withColumn("i", F.pmod(F.xxhash64("v", F.lit(2)), F.col("blocks")).cast("int"))
-    met = met.join(sigs.select(F.col("v").alias("va"), "sig"), F.col("v") == F.col("va"))
-    met = met.select("key", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "v", "n", "r", "sig")
-    met = met.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "v", "n", "r", "sig")
-    met = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return met.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def _verified_by_cells(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """As ``_verified``, for many pairs of few texts: a text's set goes once to each cell of pairs that needs it."""
-
-    def run(wanted, texts):
-        import numpy as np
-        import pyarrow as pa
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != cell:
+                    if rows:
+                        yield from links(rows)
+                    cell, rows = row[:3], []
+                rows.append(row)
+        if rows:
+            yield from links(rows)
 
-        a, b = wanted["a"].to_numpy(), wanted["b"].to_numpy()
-        found = [np.frombuffer(s.as_py(), np.uint64) for s in texts["shingles"]] or [np.empty(0, np.uint64)]
-        v = texts["v"].to_numpy()
-        turn = np.argsort(v)
-        at_a, at_b = turn[np.searchsorted(v, a, sorter=turn)], turn[np.searchsorted(v, b, sorter=turn)]
-        size = np.array([len(s) for s in found])
-        distinct, number = np.unique(np.concatenate(found), return_inverse=True)
-        numbers = np.split(number, np.cumsum(size)[:-1])
-        here, both = np.zeros(len(distinct), np.int32), np.empty(len(a), np.int64)
-        order = np.argsort(at_a, kind="stable")
-        for group in np.split(order, np.flatnonzero(np.diff(at_a[order])) + 1):
-            x = numbers[at_a[group[0]]]
-            here[x] = 1
-            for part in np.array_split(group, -(-len(group) // 256)):
-                to = at_b[part]
-                both[part] = np.add.reduceat(here[np.concatenate([numbers[t] for t in to])], np.cumsum([0, *size[to][:-1]]))
-            here[x] = 0
-        good = 100 * both >= percent * (size[at_a] + size[at_b] - both)
-        return wanted.select(["a", "b"]).filter(pa.array(good))
-
-    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct(), "ends")
-    side = -(-max(1, ends.count()) // BLOCK)
-    discard(ends)
-    celled = stored(pairs.select("a", "b", *[F.pmod(F.xxhash64(c), F.lit(side)).alias(f"c{c}") for c in "ab"]), "pairs")
-    needed = celled.select("ca", "cb", F.explode(F.array("a", "b")).alias("x")).distinct()
-    texts = sets.join(needed, F.col("v") == F.col("x")).select(F.col("ca").alias("ta"), F.col("cb").alias("tb"), "v", "shingles")
-    return celled.groupBy("ca", "cb").cogroup(texts.groupBy("ta", "tb")).applyInArrow(run, "a bigint, b bigint")
-
-
-def _joined(label: DataFrame, more: DataFrame, mixed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The components with ``more`` links, and the buckets that they leave mixed."""
-    label = stored(components(label.select(F.col("v").alias("a"), F.col("root").alias("b")).union(more)), "roots")
-    left = stored(_mixed_buckets(_marked(mixed.drop("r"), label)), "mixed")
-    discard(mixed)
-    return label, left
+    return cells.mapInArrow(run, "a bigint, b bigint")
+
+
+def _pivot_pairs(hot: DataFrame, percent: int) -> DataFrame:
+    """Each bucket's members (key, v, n) with its least member."""
+    pivots = hot.groupBy("key").agg(F.min(F.struct("v", "n")).alias("p")).select(F.col("key").alias("pk"), F.col("p.v").alias("pv"), F.col("p.n").alias("pn"))
+    pairs = hot.join(small(stored(pivots, "pivots")), F.col("key") == F.col("pk")).where((F.col("v") != F.col("pv")) & _close_in_size(percent))
+    return pairs.select(F.col("pv").alias("a"), F.col("v").alias("b")).distinct()
+
+
+def _mixed_buckets(marked: DataFrame) -> DataFrame:
+    """Members (g, v, n, r) of the buckets of several components; of buckets with the same members one is taken."""
+    whole = marked.groupBy("g").agg(
+        F.min("r").alias("low"), F.max("r").alias("high"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y")
+    )
+    once = stored(whole.where("low <> high").groupBy("m", "x", "y").agg(F.min("g").alias("k")).select("k"), "once")
+    return marked.join(small(once), F.col("g") == F.col("k"), "left_semi")
 
 
 def _links(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame | None:
     """Roots of linked representatives: (v, root); None without any link."""
-    members = reps.select("v", "n", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("key").alias("k"))
-    members = stored(members.join(shared, F.col("key") == F.col("k"), "left_semi"), "members")
-    pairs = stored(_pivot_pairs(members, percent), "pairs")
-    if pairs.isEmpty():
+    keyed = reps.select("v", "n", F.explode("bands").alias("key"))
+    shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("key").alias("k"), "m"), "buckets")
+    members = stored(keyed.join(small(shared), F.col("key") == F.col("k")).select("key", "m", "v", "n"), "members")
+    if members.isEmpty():
         return None
-    wanted = stored(reps.join(members.select(F.col("v").alias("x")).distinct(), F.col("v") == F.col("x"), "left_semi").select("v", "doc_id", "tkey", "sig"), "wanted")
-    keys = wanted.select("v", F.col("doc_id").alias("d"), F.col("tkey").alias("t"))
-    keys = F.broadcast(keys) if wanted.count() <= BROADCAST_ROWS else keys
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey")).join(keys, (F.col("tkey") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    sets = stored(_sets(texts.select("v", "text").dropDuplicates(["v"]), size), "sets")
-    links = stored(_verified(stored(_signature_pass(pairs, wanted, percent), "pairs"), sets, percent), "links")
-    if links.isEmpty():
-        label = stored(docs.sparkSession.range(0).select(F.col("id").alias("v"), F.col("id").alias("root")), "roots")
+    ends = stored(members.select(F.col("v").alias("x")).distinct(), "ends")
+    wanted = stored(reps.join(small(ends), F.col("v") == F.col("x"), "left_semi").select("v", "doc_id", "tkey", "n", "sig"), "wanted")
+
+    def sets(of: DataFrame) -> DataFrame:
+        keys = small(stored(of.select(F.col("v").alias("x")).distinct(), "keys"))
+        keys = small(stored(wanted.join(keys, F.col("v") == F.col("x"), "left_semi").select("v", F.col("doc_id").alias("d"), F.col("tkey").alias("t")), "keys"))
+        texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey")).join(keys, (F.col("tkey") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
+        return _sets(texts.select("v", "text").dropDuplicates(["v"]), size)
+
+    label, hot = None, members.where(F.col("m") > BLOCK)
+    if not hot.isEmpty():
+        pairs = stored(_signature_pass(_pivot_pairs(hot, percent), wanted, percent), "pairs")
+        full = stored(sets(pairs.select(F.explode(F.array("a", "b")).alias("v"))), "sets")
+        links = stored(_verified(pairs, full, percent), "links")
+        label = None if links.isEmpty() else stored(components(links), "roots")
+        discard(pairs, full, links)
+    marked = members.select(F.col("key").alias("g"), "v", "n")
+    if label is None:
+        marked = marked.withColumn("r", F.col("v"))
     else:
-        label = stored(components(links), "roots")
-    rest = stored(_mixed_buckets(_marked(members, label)).select("v").distinct().withColumnRenamed("v", "x"), "mixed")
-    if not rest.isEmpty():
-        near = _fine_bands(sets.join(rest, F.col("v") == F.col("x"), "left_semi"))
-        fine = stored(_marked(near, label).select("v", "n", "r", F.explode("bands").alias("key")), "members")
-        mixed, salt = stored(_mixed_buckets(fine), "mixed"), 0
-        discard(fine)
-        while True:
-            salt += 1
-            pairs = stored(_pivot_pairs(mixed, percent, salt), "pairs")
-            passed = stored(_signature_pass(pairs, wanted, percent), "pairs")
-            more = stored(_verified(passed, sets, percent), "links")
-            discard(pairs, passed)
-            if more.isEmpty():
-                break
-            label, mixed = _joined(label, more, mixed)
-        pairs = stored(_pairs_within(mixed, wanted, percent), "pairs")
-        if not pairs.isEmpty():
-            more = stored(_verified_by_cells(pairs, sets, percent), "links")
-            if not more.isEmpty():
-                label = stored(components(label.select(F.col("v").alias("a"), F.col("root").alias("b")).union(more)), "roots")
-        discard(mixed, pairs)
-    discard(members, sets, wanted)
+        marked = marked.join(small(label.withColumnRenamed("v", "x")), F.col("v") == F.col("x"), "left").select("g", "v", "n", F.coalesce("root", "v").alias("r"))
+        marked = stored(marked, "marked")
+    mixed = _mixed_buckets(marked)
+    sigs = small(wanted.select(F.col("v").alias("x"), "sig"), SIGNATURE_ROWS)
+    mixed = stored(mixed.join(sigs, F.col("v") == F.col("x")).select("g", "v", "n", "r", "sig"), "mixed")
+    likely = stored(_cell_links(mixed, F.lit(1 / BLOCK), percent), "likely")
+    discard(members, mixed)
+    if not likely.isEmpty():
+        family = stored(components(likely), "families")
+        full = sets(family).select(F.col("v").alias("y"), "shingles")
+        joined = wanted.join(small(family.select(F.col("v").alias("x"), F.col("root").alias("g"))), F.col("v") == F.col("x")).select("g", "v", "n", "sig")
+        if label is None:
+            joined = joined.withColumn("r", F.col("v"))
+        else:
+            joined = joined.join(small(label.withColumnRenamed("v", "x")), F.col("v") == F.col("x"), "left").select("g", "v", "n", "sig", F.coalesce("root", "v").alias("r"))
+        joined = stored(joined, "joined")
+        links = stored(_cell_links(joined, F.lit(1 / BLOCK) + F.col("n") / BLOCK_SHINGLES, percent, full), "links")
+        if not links.isEmpty():
+            more = links if label is None else links.union(label.select(F.col("v").alias("a"), F.col("root").alias("b")))
+            label = stored(components(more), "roots")
+        discard(likely, family, links)
+    discard(wanted)
     return label
 
 
@@ -361,7 +379,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         marked = stored(marked.select("c1", "c2", "first", "root"), "marked")
         least = marked.groupBy("root").agg(F.min("first").alias("least")).withColumnRenamed("root", "r")
         heads = marked.join(least, F.col("root") == F.col("r")).select("c1", "c2", F.col("least").alias("first"))
-    heads = heads.select(F.col("c1").alias("h1"), F.col("c2").alias("h2"), "first")
+    heads = small(stored(heads.select(F.col("c1").alias("h1"), F.col("c2").alias("h2"), "first"), "heads"))
     joined = rows.select("doc_id", "tkey", "n", "c1", "c2", "rid").join(heads, (F.col("c1") == F.col("h1")) & (F.col("c2") == F.col("h2")) & (F.col("n") > 0), "left")
     component = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
     return joined.select(
@@ -376,8 +394,7 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     verdicts = near_duplicates(docs, size, percent)
     by_key = verdicts.groupBy("doc_id", "tkey").agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.col("stays").cast("int")).alias("_stay"))
     changed = stored(by_key.where("_rows > _stay").select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"), "_stay"), "dropped")
-    hint = F.broadcast(changed) if changed.count() <= BROADCAST_ROWS else changed
-    joined = boxed(docs, "doc_id", "text").withColumn("_k", F.xxhash64("text")).join(hint, (F.col("_k") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    joined = boxed(docs, "doc_id", "text").withColumn("_k", F.xxhash64("text")).join(small(changed), (F.col("_k") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     once = joined.where("_stay = 1").dropDuplicates(["_k", "doc_id"])
     both = joined.where("_stay is null").unionByName(once)
     return unboxed(both, docs.columns, "doc_id", "text")

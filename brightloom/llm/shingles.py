@@ -11,7 +11,7 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(
 class WordNumbers(dict):
     """Word -> 64-bit number; forgets all beyond ``limit`` words."""
 
-    def __init__(self, limit: int = 600_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 
