@@ -7,6 +7,7 @@ executors share, so a lost executor costs only the tasks it was running.
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+#: Rows and bytes of an Arrow batch between the JVM and Python while scratch tables are written.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,11 +35,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/brightloom-{spark.sparkContext.applicationId}"
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches, which lie outside the heap, stay small while a table is written."""
+    before = {k: spark.conf.get(k, None) for k in ARROW}
+    try:
+        for k, v in ARROW.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared scratch folder and read back: lineage ends there."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -138,7 +155,8 @@ def sliced(batches: Iterable, column: str, size: int = 8 << 20) -> Iterator:
 def boxed(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep`` as columns and all others in a struct, where their names can't clash with an operator's."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in keep]
-    return docs.select(*keep, F.struct(*rest, F.lit(True).alias("_")).alias("_doc"))
+    some = "_" * (1 + max(map(len, docs.columns)))  # a struct needs a field
+    return docs.select(*keep, F.struct(*rest, F.lit(True).alias(some)).alias("_doc"))
 
 
 def unboxed(df: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:

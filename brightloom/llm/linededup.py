@@ -1,20 +1,23 @@
 """Line dedup: repeated line runs by a distributed suffix array over line ids.
 
-Texts are sequences of line ids (128-bit hashes). Only lines that occur twice
-are kept as suffix starts. Prefix doubling ranks them: level 0 by line id; from
-level k to k + 1 the pair of ranks at a line and 2^k lines on is counted, pairs
-that occur once are dropped, and a pair's rank is its bucket's start plus the
-count of smaller pairs in that bucket, so ranks are places in the suffix array.
-Starts of equal rank at level k form an LCP interval of at least 2^k lines, and
-two overlapping ranks name runs of any length. Doubling ends at the length of
-the longest run in question, or when no repeat is left.
-
-A run counts from ``min_words`` words on. For each line the shortest such runs
-that begin and that end at it are looked up; where an interval has an earlier
-run, the later one's lines go. Together these runs cover exactly the lines of
-all maximal repeated runs of ``min_words`` words or more that have an earlier
-copy. Order is by id (null last), then row, then line; the first copy stays. A
-run may overlap its earlier copy, as in one line repeated many times.
+Texts are sequences of line ids (128-bit hashes). A suffix is a line and all that
+follow it. Prefix doubling names suffixes in their order: level 0 by line id;
+from level k to k + 1 the pair of names at a line and 2^k lines on is counted,
+and a pair's name is its interval's start plus the count of smaller pairs in it.
+Suffixes whose first 2^k lines stand once are dropped, as no run begins there;
+names are therefore in the suffix array's order, but leave out the places of
+dropped ones. Suffixes of equal name at level k form an LCP interval of at least
+2^k lines, and the two names at a run's start and 2^k lines before its end name
+runs of any length. Doubling ends at the length of the longest run in question,
+or when no repeat is left.
+
+A run counts from ``min_words`` words on. Maximal runs are not listed as such:
+for each line the shortest run of ``min_words`` words that begins at it and that
+ends at it is looked up, and where its interval has an earlier place, the later
+one's lines go. A line is in a maximal repeated run of ``min_words`` words or
+more with an earlier copy exactly if one of these runs covers it, so the lines
+that go are the same. Order is by id (null last), then row, then line; the first
+copy stays. A run may overlap its earlier copy, as in one line repeated often.
 
 Defined results: a null or empty text stays as it is. A text all of whose lines
 go becomes empty. Repeated rows are later copies of the first. Other columns
@@ -31,10 +34,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from brightloom.llm.common import discard, require, stored
+from brightloom.llm.common import boxed, discard, require, sliced, small, stored
 
-#: Documents with deletions are broadcast up to so many rows, counted first.
-BROADCAST_ROWS = 200_000
+#: Cuts are broadcast up to so many runs and documents, counted first.
+BROADCAST_CUTS = 1_000_000
 #: Radix buckets for the order of line ids; ids are hashes, so buckets are even.
 RADIX = 4096
 
@@ -47,26 +50,25 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        for batch in batches:
-            for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                cols: list[list] = [[] for _ in range(6)]
-                for rid, text in zip(part["_rid"].to_pylist(), part["text"].to_pylist(), strict=True):
-                    lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n") if text else []
-                    n = len(lines)
-                    before = np.zeros(n + 1, np.int64)
-                    np.cumsum([len(x.split()) for x in lines], out=before[1:])
-                    # The first end with enough words from each start, the last start with enough words to each end.
-                    end = np.searchsorted(before, before[:-1] + min_words)
-                    start = np.searchsorted(before, before[1:] - min_words, "right") - 1
-                    cols[0] += [rid] * n
-                    cols[1] += range(n)
-                    digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines]), np.int64)
-                    cols[2] += digest[0::2].tolist()
-                    cols[3] += digest[1::2].tolist()
-                    cols[4] += [e - i if e <= n else None for i, e in enumerate(end.tolist())]
-                    cols[5] += [i + 1 - s if s >= 0 else None for i, s in enumerate(start.tolist())]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["rid", "line", "h1", "h2", "ahead", "back"])
+        for batch in sliced(batches, "text", 1 << 20):
+            cols: list[list] = [[] for _ in range(6)]
+            for rid, value in zip(batch["_rid"].to_pylist(), batch["text"], strict=True):
+                text = value.as_py()
+                lines = text.encode("utf-8", "surrogatepass").split(b"\n") if text else []
+                n = len(lines)
+                before = np.zeros(n + 1, np.int64)
+                np.cumsum([len(x.split()) for x in lines], out=before[1:])
+                # The first end with enough words from each start, the last start with enough words to each end.
+                end = np.searchsorted(before, before[:-1] + min_words)
+                start = np.searchsorted(before, before[1:] - min_words, "right") - 1
+                at = np.arange(n)
+                digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines]), np.int64)
+                for c, new in zip(cols, (np.full(n, rid), at, digest[0::2], digest[1::2], np.where(end <= n, end - at, 0), np.where(start >= 0, at + 1 - start, 0)), strict=True):
+                    c.append(new)
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            flat = [np.concatenate(c) if c else np.empty(0, np.int64) for c in cols]
+            arrays = [pa.array(c.astype(k.to_pandas_dtype()), mask=c == 0 if i > 3 else None) for i, (c, k) in enumerate(zip(flat, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, ["rid", "line", "h1", "h2", "ahead", "back"])
 
     return docs.select("_rid", "text").mapInArrow(run, "rid bigint, line int, h1 bigint, h2 bigint, ahead int, back int")
 
@@ -100,6 +102,7 @@ def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
     lines = stored(_lines(docs, min_words), "lines")
     ids = stored(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "line-ids")
     ranks = _first_ranks(ids).select(F.col("h1").alias("i1"), F.col("h2").alias("i2"), "rank")
+    ranks = small(stored(ranks, "ranks"))
     base = stored(lines.join(ranks, (F.col("h1") == F.col("i1")) & (F.col("h2") == F.col("i2"))).select("rid", "line", "ahead", "back", "rank"), "level")
     discard(lines, ids)
     from_here = base.where("ahead is not null").select("rid", F.col("line").alias("start"), F.col("ahead").alias("length"))
@@ -131,7 +134,7 @@ def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
     place = F.struct("_order", "rid", "start")
     key = ["length", "head", "tail"]
     first = named.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = first.select(*[F.col(c).alias(f"f_{c}") for c in key], "first")
+    first = small(stored(first.select(*[F.col(c).alias(f"f_{c}") for c in key], "first"), "first"))
     joined = named.join(first, [F.col(c) == F.col(f"f_{c}") for c in key])
     return joined.where((F.col("rid") != F.col("first.rid")) | (F.col("start") != F.col("first.start"))).select("rid", "start", "length")
 
@@ -141,16 +144,18 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     require(docs, "doc_id", "text")
     rest = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
-    table = stored(docs.select(*rest).withColumns({"_rid": F.monotonically_increasing_id(), "_order": order}), "documents")
+    box = boxed(docs.select(*[F.col(f"`{c}`") for c in rest]), "doc_id", "text")
+    table = stored(box.withColumns({"_rid": F.monotonically_increasing_id(), "_order": order}), "documents")
     cuts = stored(repeated_runs(table, min_words).groupBy(F.col("rid").alias("_r")).agg(F.collect_list(F.struct("start", "length")).alias("_cuts")), "cuts")
-    cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_ROWS else cuts
-    joined = table.join(cuts, F.col("_rid") == F.col("_r"), "left").select(*rest, "_cuts")
-    schema = T.StructType([docs.schema[c] for c in rest]).add("n_lines", "long").add("n_deleted", "long")
+    held = cuts.agg(F.count(F.lit(1)) * 2 + F.coalesce(F.sum(F.size("_cuts")), F.lit(0))).first()[0]
+    cuts = F.broadcast(cuts) if held <= BROADCAST_CUTS else cuts
+    joined = table.join(cuts, F.col("_rid") == F.col("_r"), "left").select("doc_id", "text", "_doc", "_cuts")
+    schema = T.StructType([box.schema[c] for c in ("doc_id", "text", "_doc")]).add("n_lines", "long").add("n_deleted", "long")
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             texts, n_lines, n_deleted = [], [], []
             for value, cut in zip(batch["text"], batch["_cuts"], strict=True):
                 text, cut = value.as_py(), cut.as_py()
@@ -165,7 +170,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
                 texts.append(text)
                 n_lines.append(n)
                 n_deleted.append(gone)
-            arrays = [pa.array(texts, pa.string()) if c == "text" else batch[c] for c in rest]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_deleted, pa.int64())], [*rest, "n_lines", "n_deleted"])
+            arrays = [batch["doc_id"], pa.array(texts, pa.string()), batch["_doc"], pa.array(n_lines, pa.int64()), pa.array(n_deleted, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", "_doc", "n_lines", "n_deleted"])
 
-    return joined.mapInArrow(run, schema)
+    kept = [F.col(c) if c in ("doc_id", "text") else F.col(f"_doc.`{c}`").alias(c) for c in rest]
+    return joined.mapInArrow(run, schema).select(*kept, "n_lines", "n_deleted")
