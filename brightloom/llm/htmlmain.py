@@ -3,14 +3,18 @@
 A tolerant scanner splits a page into text blocks with features of their tags,
 class names and links. A logistic classifier, trained here on synthetic blocks
 with known labels, turns features into the two terminal capacities of each
-block; neighbouring blocks are joined by smoothness edges that weigh more the
-more ancestors they share. A maximum flow splits the blocks into content and
-boilerplate, so that stray paragraphs follow their surroundings.
-
-Defined results: a null, empty or textless page has empty text. Unclosed tags,
-broken attributes, cut-off pages and unknown or cut-off references are read as
-browsers do, as far as text goes. Other columns and repeated rows pass as they
-come. One page is held in memory at a time; all steps are near linear in it.
+block. Smoothness edges join each block to the one before it and to the one
+before it in the same container, and weigh more the nearer they are in the
+tree. A maximum flow splits the blocks into content and boilerplate, so that
+stray paragraphs follow their surroundings.
+
+Defined results: a null, empty or textless page has empty text. Tags are read by
+the tokenising rules of the HTML standard: a quote opens a value only right
+after an equals sign. Unclosed elements, cut-off pages and unknown or cut-off
+references are read as browsers do, as far as text goes; a quoted value without
+its closing quote ends at white space or the tag's end, so that no text is lost.
+Other columns and repeated rows pass as they come. One page is held in memory at
+a time; scanning is linear in it, however deep elements nest.
 """
 
 from __future__ import annotations
@@ -18,14 +22,16 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightloom.llm.common import require
+from brightloom.llm.common import require, sliced
 
 # HTML elements by what they mean for text.
 _BLOCK = frozenset(
@@ -35,10 +41,13 @@ _BLOCK = frozenset(
 _SKIP = frozenset("script style noscript template iframe svg math object head title select button textarea option canvas audio video".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe".split())
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in _RAW}
 #: A start tag of these ends an open p.
 _ENDS_P = _BLOCK - frozenset("html body dd dt li td th tr tbody thead tfoot legend summary figcaption".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_VALUE = r"""(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+))"""
+_ATTR = re.compile(rf"(=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+{_VALUE})?+")
+_ATTRS = re.sub(r"\((?!\?)", "(?:", _ATTR.pattern)
+_TAG = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|</(?![A-Za-z])[^>]++>?|<(/?)([A-Za-z][^\s/>]*+)((?>[\s/]++|{_ATTRS})*+)>?", re.S)
 
 _BAD_TAGS = frozenset("nav footer aside form menu header dialog".split())
 _GOOD_TAGS = frozenset("article main".split())
@@ -50,34 +59,48 @@ _BAD_NAME = re.compile(
 _GOOD_NAME = re.compile(r"(?<![a-z])(article\w*|content|main|post|entry|story|text|body|prose)(?![a-z])")
 
 
+class Node:
+    """An open element with what it and its ancestors say."""
+
+    __slots__ = ("bad_name", "bad_tag", "block", "closed", "depth", "good_name", "good_tag", "name", "up")
+
+    def __init__(self, name: str, up: Node | None, bad_tag: bool = False, bad_name: bool = False, good_tag: bool = False, good_name: bool = False):
+        self.name, self.up, self.depth, self.closed = name, up, up.depth + 1 if up else 0, False
+        self.block: Node = self if up is None or name in _BLOCK else up.block  # the nearest block element
+        self.bad_tag = bad_tag or bool(up and up.bad_tag)
+        self.bad_name = bad_name or bool(up and up.bad_name)
+        self.good_tag = good_tag or bool(up and up.good_tag)
+        self.good_name = good_name or bool(up and up.good_name)
+
+
 @dataclass
 class Block:
-    """A run of text without a block boundary, with its open elements."""
+    """A run of text without a block boundary, and the element it begins in."""
 
     text: str
-    path: tuple[int, ...]  # serial numbers of the open elements
+    node: Node
     features: tuple[float, ...]
 
 
 FEATURES = ("bias", "bad_tag", "bad_name", "good_tag", "good_name", "heading", "paragraph", "list_item", "link_share", "log_words", "few_words", "stops", "copyright")
 
 
-@dataclass
-class _Open:
-    name: str
-    serial: int
-    bad_tag: int
-    bad_name: int
-    good_tag: int
-    good_name: int
+def _attributes(raw: str) -> tuple[str, bool]:
+    """Names that say what an element is for, and whether it is hidden."""
+    names, hidden = [], False
+    for m in _ATTR.finditer(raw):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role", "aria-label", "itemprop"):
+            names.append(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+        hidden = hidden or name == "hidden" or name == "style" and bool(re.search(r"(?i)display\s*:\s*none", value))
+    return " ".join(names), hidden
 
 
-def _names(attributes: str) -> str:
-    out = []
-    for m in _ATTR.finditer(attributes):
-        if m[1].lower() in ("class", "id", "role", "aria-label", "itemprop"):
-            out.append(re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower())
-    return " ".join(out)
+# Elements that a start tag of the key ends, unless one of the fence lies between; what head may hold; what a block ends.
+_ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_FENCE = ("ul", "ol", "dl", "table", "select", "menu")
+_HEAD = frozenset("title meta link script style base noscript template".split())
+_ENDED = ("select", "svg", "math")
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -85,41 +108,49 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     if not page:
         return out
-    root = _Open("", 0, 0, 0, 0, 0)
-    stack, serial, parts, linked, skip, in_link = [root], 0, [], 0, 0, 0
-    context: list = []
+    stack, where, parts, linked, skip, in_link = [Node("", None)], defaultdict(list), [], 0, 0, 0
+    first: Node | None = None  # where the text at hand begins
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, first
         text = " ".join("".join(parts).split())
         parts.clear()
-        chars, linked = linked, 0
+        chars, linked, node, first = linked, 0, first, None
         if text:
-            held = context[-1] if context else stack
-            out.append(Block(text, tuple(o.serial for o in held), _features(text, held, chars / len(text))))
-        context.clear()
+            node = node or stack[-1]
+            out.append(Block(text, node, _features(text, node, chars / len(text))))
 
     def say(raw: str) -> None:
-        nonlocal linked
+        nonlocal linked, first
+        if where["head"] and skip == 1 and stack[-1].name == "head" and not raw.isspace():
+            close("head")
         if not skip and raw:
             text = html.unescape(raw)
             parts.append(text)
             if in_link:
                 linked += len(" ".join(text.split()))
-            if not context and not text.isspace():
-                context.append(list(stack))
+            if first is None and not text.isspace():
+                first = stack[-1]
 
     def close(name: str) -> None:
         nonlocal skip, in_link
-        at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
-        if not at:
+        if not where[name]:
+            return
+        at = where[name][-1]
+        if name not in _BLOCK and name not in _SKIP and stack[-1].block.depth > at:
+            # Formatting that ends inside a block which it doesn't hold goes on without it.
+            where[name].pop()
+            stack[at].closed = True
+            in_link -= name == "a"
             return
-        if any(o.name in _BLOCK for o in stack[at:]):
+        if stack[-1].block.depth >= at:
             flush()
-        for o in stack[at:]:
+        while len(stack) > at:
+            o = stack.pop()
+            if not o.closed:
+                where[o.name].pop()
+                in_link -= o.name == "a"
             skip -= o.name in _SKIP
-            in_link -= o.name == "a"
-        del stack[at:]
 
     at, n = 0, len(page)
     while at < n:
@@ -129,18 +160,20 @@ def blocks(page: str | None) -> list[Block]:
             break
         if m.start() > at:
             say(page[at : m.start()])
-        at = max(m.end(), m.start() + 1)
+        at = m.end()
         if not m[2]:
             continue
         name = m[2].lower()
         if m[1]:
-            if name in _BLOCK and not any(o.name == name for o in stack):
+            if name in _BLOCK and not where[name]:
                 flush()
             close(name)
             continue
+        if where["head"] and name not in _HEAD:
+            close("head")
         if name in _RAW:
             # Nothing inside counts as markup; a page cut off here ends.
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            end = _RAW_END[name].search(page, at)
             at = end.end() if end else n
             continue
         if name in _VOID:
@@ -149,33 +182,31 @@ def blocks(page: str | None) -> list[Block]:
             elif name == "br":
                 say(" ")
             continue
+        if name in _BLOCK:
+            for o in _ENDED:
+                close(o)
         if name in _ENDS_P:
             close("p")
-        if name in ("li", "dd", "dt", "tr", "td", "th", "option"):
-            same = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
-            fence = {"ul", "ol", "dl", "table", "select", "menu"}
-            for o in reversed(stack[1:]):
-                if o.name in fence:
-                    break
-                if o.name in same:
-                    close(o.name)
-                    break
+        elif name == "a":
+            close("a")
+        if name in _ENDS:
+            fence = max((where[o][-1] for o in _FENCE if where[o]), default=0)
+            same = max(((where[o][-1], o) for o in _ENDS[name] if where[o]), default=(0, ""))
+            if same[0] > fence:
+                close(same[1])
         if name in _BLOCK:
             flush()
-        serial += 1
-        up, names = stack[-1], _names(m[3]) if m[3] and not m[3].isspace() else ""
-        hidden = bool(m[3]) and bool(re.search(r"(?i)(?<![\w-])hidden(?![\w-])|display\s*:\s*none", m[3]))
-        inside = any(o.name in _GOOD_TAGS for o in stack)
-        bad_tag = name in _BAD_TAGS or hidden
+        up, (names, hidden) = stack[-1], _attributes(m[3]) if m[3] and not m[3].isspace() else ("", False)
+        where[name].append(len(stack))
         stack.append(
-            _Open(
-                name, serial, up.bad_tag + bad_tag, up.bad_name + bool(names and _BAD_NAME.search(names)),
-                up.good_tag + (name in _GOOD_TAGS), up.good_name + bool(names and not inside and _GOOD_NAME.search(names)),
+            Node(
+                name, up, bad_tag=name in _BAD_TAGS or hidden, bad_name=bool(names and _BAD_NAME.search(names)),
+                good_tag=name in _GOOD_TAGS, good_name=bool(names and not up.good_tag and _GOOD_NAME.search(names)),
             )
         )
         skip += name in _SKIP
         in_link += name == "a"
-        if m[3].rstrip().endswith("/") and name not in _BLOCK:
+        if m[3].endswith("/") and name not in _BLOCK:
             close(name)
     flush()
     return out
@@ -184,13 +215,12 @@ def blocks(page: str | None) -> list[Block]:
 _STOPS = frozenset("the of and to in is that it for der die und den von zu le la les de et en un une du que el los las y".split())
 
 
-def _features(text: str, stack: list[_Open], link_share: float) -> tuple[float, ...]:
-    top, words = stack[-1], text.split()
-    near = next((o.name for o in reversed(stack) if o.name in _BLOCK), "")
-    stops = sum(w in _STOPS for w in (w.strip(".,;:!?").lower() for w in words[:200])) / max(1, min(200, len(words)))
+def _features(text: str, node: Node, link_share: float) -> tuple[float, ...]:
+    words, near = text.split(), node.block.name
+    stops = sum(w.strip(".,;:!?").lower() in _STOPS for w in words) / len(words)
     sure = min(1.0, link_share)
     return (
-        1.0, float(top.bad_tag > 0), float(top.bad_name > 0), float(top.good_tag > 0), float(top.good_name > 0),
+        1.0, float(node.bad_tag), float(node.bad_name), float(node.good_tag), float(node.good_name),
         float(len(near) == 2 and near[0] == "h" and near[1].isdigit()), float(near in ("p", "blockquote", "pre")), float(near in ("li", "td", "th", "dd", "dt")),
         sure, math.log1p(len(words)) / 4, float(len(words) <= 5), stops, float("©" in text or "all rights reserved" in text.lower()),
     )
@@ -337,8 +367,20 @@ class Flow:
         return [x >= 0 for x in self._levels(s)]
 
 
-#: Smoothness of neighbours: the whole for siblings, less for each ancestor they don't share.
-SMOOTH = 1.5
+#: Smoothness of neighbours on the page, and of neighbours in a container; less for each element between them.
+SMOOTH, SMOOTH_TREE = 1.5, 0.5
+
+
+def _apart(a: Node, b: Node) -> int:
+    """Steps from one element to another in the tree; over a page's blocks in turn as many as it has tags at most."""
+    steps = 0
+    while a is not b:
+        steps += 1
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+    return steps
 
 
 def content(page: str | None, model: tuple[float, ...]) -> list[str]:
@@ -347,17 +389,20 @@ def content(page: str | None, model: tuple[float, ...]) -> list[str]:
     if not found:
         return []
     n = len(found)
-    flow = Flow(n + 2)
+    flow, last = Flow(n + 2), {}
     for i, b in enumerate(found):
         score = max(-8.0, min(8.0, sum(w * f for w, f in zip(model, b.features, strict=True))))
         # Cost of a label is minus the logarithm of its probability.
         flow.edge(n, i, math.log1p(math.exp(score)))
         flow.edge(i, n + 1, math.log1p(math.exp(-score)))
         if i:
-            a = found[i - 1]
-            shared = sum(x == y for x, y in zip(a.path, b.path, strict=False))
-            apart = len(a.path) + len(b.path) - 2 * shared
-            flow.edge(i - 1, i, SMOOTH / (1 + apart), SMOOTH / (1 + apart))
+            near = SMOOTH / (1 + _apart(found[i - 1].node, b.node))
+            flow.edge(i - 1, i, near, near)
+        container = b.node.block.up or b.node.block
+        j = last.get(id(container), i)
+        if j < i - 1:
+            flow.edge(j, i, SMOOTH_TREE, SMOOTH_TREE)
+        last[id(container)] = i
     side = flow.source_side(n, n + 1)
     return [b.text for i, b in enumerate(found) if side[i]]
 
@@ -371,13 +416,14 @@ def extract(pages: DataFrame, html_column: str = "html", out: str = "text") -> D
     require(pages, html_column)
     model = weights()
     rest = [c for c in pages.columns if c not in (html_column, out)]
+    quoted = [F.col(f"`{c}`") for c in [*rest, html_column]]
     schema = T.StructType([pages.schema[c] for c in rest]).add(out, "string")
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches, html_column):
             texts = [main_text(v.as_py(), model) for v in batch[html_column]]
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in rest], pa.array(texts, pa.string())], [*rest, out])
 
-    return pages.select(*rest, html_column).mapInArrow(run, schema)
+    return pages.select(*quoted).mapInArrow(run, schema)

@@ -279,6 +279,55 @@ def test_html(spark, none):
     assert h.extract(df.limit(0)).count() == 0
 
 
+#: Pages unlike those that the classifier is fitted to, with their main text as read by hand.
+PAGES = [
+    ("<p title=it's>Hello world</p><p>I don't know</p><p>last one here</p>", "Hello world\nI don't know\nlast one here"),
+    ('<p data-x="5" 6">Kept?</p><p>say "hi" now</p>', 'Kept?\nsay "hi" now'),
+    ("<html><head><title>No</title><meta charset=utf-8><p>The head was never closed, and the text of the page goes on.", "The head was never closed, and the text of the page goes on."),
+    ("<!-->one of the first words here <!--->and the second<!-- <p>no --!> and the third of them", "one of the first words here and the second and the third of them"),
+    (
+        "<table id=layout><tr><td class=menu><a href=1>Start</a><br><a href=2>News</a><td><div><b>The old page in a table</b>"
+        "<p>It was written by hand a long time ago, and it is in the middle cell of the table.<p>The second paragraph of the text is here, and it is the last.</div></table>",
+        "The old page in a table\nIt was written by hand a long time ago, and it is in the middle cell of the table.\nThe second paragraph of the text is here, and it is the last.",
+    ),
+    (
+        "<body><ul class='topmenu nav'><li><a href=/>Home</a><li><a href=/a>About</a></ul><div id=story><h1>A story of the sea</h1><p>The ship left the harbour in the morning of the first of May.</p>"
+        "<div class=advert><a href=x>Buy the best boots of the year</a></div><p>It came back in the evening, and the crew was <b>not</b> the same as before.</p>"
+        "<blockquote title='hidden treasure'>I saw it, said the keeper of the light.</blockquote></div><div class=comments><p>I do not believe a word of it, and you should not either.</p></div>"
+        "<div class=footer>&copy; 2001 The Harbour Times</div>",
+        "A story of the sea\nThe ship left the harbour in the morning of the first of May.\nIt came back in the evening, and the crew was not the same as before.\nI saw it, said the keeper of the light.",
+    ),
+    (
+        "<main><h2>Steps</h2><ol><li>Take the bread out of the oven and let it rest for a while.<li>Cut it in the middle.<li>Eat.</ol></main><form action=/s>Search the site <input name=q></form>",
+        "Steps\nTake the bread out of the oven and let it rest for a while.\nCut it in the middle.\nEat.",
+    ),
+    ("<article><p>Caf&eacute; &lt;tag&gt; &#x41;&#66; &notanentity; AT&T<sub>2</sub> the end</p><svg><text>drawn<p>after the drawing, the text goes on as it was</article>", "Café <tag> AB ¬anentity; AT&T2 the end\nafter the drawing, the text goes on as it was"),
+]
+
+
+@pytest.mark.parametrize("page, text", PAGES)
+def test_html_pages_read_by_hand(page, text):
+    from brightloom.llm.htmlmain import main_text
+
+    assert main_text(page) == text
+
+
+def test_html_long_and_deep_pages():
+    import time
+    import tracemalloc
+
+    from brightloom.llm.htmlmain import main_text
+
+    prose = "the words of the page " * 40_000
+    assert main_text(f"<article><p>{prose}</p></article>") == prose.strip()
+    for page, text in (("<div>" * 100_000 + "<p>the deep text of the page", "the deep text of the page"), ("<b><p>the text of it</b>" * 5_000, "\n".join(["the text of it"] * 5_000))):
+        tracemalloc.start()
+        began = time.time()
+        assert main_text(page) == text
+        assert tracemalloc.get_traced_memory()[1] < 200e6 and time.time() - began < 60
+        tracemalloc.stop()
+
+
 def test_html_minimum_cut_is_minimal():
     from itertools import product
     from random import Random
