@@ -12,7 +12,8 @@ its CRC, the whole by the music CRC of the info tag, which also has the frame
 count, byte count and a seek table. ``payload`` reads the bytes back.
 
 Defined results: null or empty bytes have no frames and duration 0; garbage
-gives ``resyncs`` and no frames; damaged frames are passed over and counted.
+gives ``resyncs`` and no frames; damaged frames are passed over and counted. A
+file that cannot be read at all has nulls and what went wrong in ``error``.
 A null or empty text has one block of padding as payload. Nulls, repeated rows
 and other columns pass as they come. One file is held in memory at a time.
 """
@@ -27,7 +28,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from brightloom.llm.common import require
+from brightloom.llm.common import require, sliced
 
 # Fixed values of ISO 11172-3 and 13818-3: kbit/s by (MPEG 1?, layer), Hz by version.
 _RATES = {
@@ -151,22 +152,33 @@ def _text(raw: bytes) -> str:
 
 
 def id3v2(data: bytes) -> tuple[dict[str, str], int]:
-    """Text frames of a leading ID3v2.3 or 2.4 tag, and the tag's length (0: none)."""
+    """Text frames of a leading ID3v2.2, 2.3 or 2.4 tag, and the tag's length (0: none); frames that a cut leaves short are left out."""
     if data[:3] != b"ID3" or len(data) < 10 or max(data[6:10]) > 0x7F:
         return {}, 0
-    end, at, tags = 10 + _syncsafe(data[6:10]), 10, {}
-    if data[5] & 0x40:  # extended header: its size leaves out itself in 2.3
-        at += _syncsafe(data[10:14]) if data[3] == 4 else 4 + int.from_bytes(data[10:14])
-    while at + 10 <= min(end, len(data)) and data[at]:
-        size = _syncsafe(data[at + 4 : at + 8]) if data[3] == 4 else int.from_bytes(data[at + 4 : at + 8])
-        name, body = data[at : at + 4].decode("latin-1"), data[at + 10 : at + 10 + size]
-        if name == "TXXX":
-            key, _, value = _text(body).partition("\0")
+    version, flags, size = data[3], data[5], _syncsafe(data[6:10])
+    length = 10 + size + (10 if version == 4 and flags & 0x10 else 0)
+    body, at, tags = data[10 : 10 + size], 0, {}
+    if flags & 0x80 and version < 4:  # in 2.4 unsynchronisation is a matter of each frame
+        body = body.replace(b"\xff\0", b"\xff")
+    if flags & 0x40 and version > 2:  # extended header: its size leaves out itself in 2.3
+        at = 4 + int.from_bytes(body[:4]) if version < 4 else _syncsafe(body[:4].ljust(4, b"\0"))
+    wide = 4 if version > 2 else 3
+    head = 10 if version > 2 else 6
+    while at + head <= len(body) and body[at]:
+        raw = body[at + wide : at + 2 * wide]
+        n = _syncsafe(raw) if version == 4 else int.from_bytes(raw)
+        name, held = body[at : at + wide].decode("latin-1"), body[at + head : at + head + n]
+        at += head + n
+        if len(held) < n:
+            break
+        if version == 4 and body[at - n - 1] & 2:
+            held = held.replace(b"\xff\0", b"\xff")
+        if name in ("TXXX", "TXX"):
+            key, _, value = _text(held).partition("\0")
             tags[f"TXXX:{key}"] = value.lstrip("﻿")
         elif name[0] == "T":
-            tags[name] = _text(body)
-        at += 10 + size
-    return tags, end + 10 * (data[5] >> 4 & 1)
+            tags[name] = _text(held)
+    return tags, length
 
 
 def id3v1(data: bytes) -> tuple[dict[str, str], int]:
@@ -221,8 +233,9 @@ def _vbr_table(frame: bytes, h: Header) -> dict:
             out |= {"encoder": frame[p : p + 9].decode("latin-1"), "music_crc": int.from_bytes(frame[p + 32 : p + 34])}
             out["tag_ok"] = music_crc(frame[: p + 34]) == int.from_bytes(frame[p + 34 : p + 36])
         return out
-    if frame[36:40] == b"VBRI":
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
         count, scale, width, per = struct.unpack_from(">4H", frame, 54)
+        count = min(count, (len(frame) - 62) // width) if 1 <= width <= 4 else 0
         step = [int.from_bytes(frame[62 + i * width : 62 + (i + 1) * width]) * scale for i in range(count)]
         return {"name": "VBRI", "bytes": int.from_bytes(frame[46:50]), "frames": int.from_bytes(frame[50:54]), "toc": list(accumulate(step)), "frames_per_entry": per}
     return {}
@@ -328,8 +341,8 @@ def payload(data: bytes, stream: Stream) -> bytes:
 
 COLUMNS = (
     "mpeg string, sample_rate int, n_frames bigint, n_samples bigint, duration_us bigint, seek_offsets array<bigint>, "
-    "tags map<string,string>, vbr string, vbr_frames bigint, vbr_toc array<int>, music_crc_ok boolean, "
-    "crc_checked bigint, resyncs bigint, skipped_bytes bigint"
+    "tags map<string,string>, vbr string, vbr_frames bigint, vbr_toc array<bigint>, music_crc_ok boolean, "
+    "crc_checked bigint, resyncs bigint, skipped_bytes bigint, error string"
 )
 _NAMES = {3: "1", 2: "2", 0: "2.5"}
 
@@ -338,10 +351,18 @@ def _row(s: Stream) -> tuple:
     kind = f"{_NAMES[s.kind[0]]}.{s.kind[1]}" if s.kind else None
     return (
         kind, s.hertz, len(s.offsets), s.samples, s.duration_us, s.offsets, s.tags, s.table.get("name"),
-        s.table.get("frames"), s.table.get("toc"), s.music_ok, s.crc_checked, s.resyncs, s.skipped,
+        s.table.get("frames"), s.table.get("toc"), s.music_ok, s.crc_checked, s.resyncs, s.skipped, None,
     )
 
 
+def _parsed(data: bytes | None) -> tuple:
+    """``_row`` of the file; where it can't be read, nulls and what went wrong, so that one bad file costs no other."""
+    try:
+        return _row(parse(data))
+    except Exception as e:  # noqa: BLE001
+        return (*[None] * (len(COLUMNS.split(", ")) - 1), f"{type(e).__name__}: {e}")
+
+
 def media_columns(files: DataFrame, content: str = "content") -> DataFrame:
     """``files`` with a struct ``media`` of ``COLUMNS`` parsed from the bytes in ``content``."""
     require(files, content)
@@ -352,9 +373,9 @@ def media_columns(files: DataFrame, content: str = "content") -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kind = to_arrow_schema(schema).field("media").type
-        for batch in batches:
+        for batch in sliced(batches, content):
             names = [n for n in batch.schema.names if n != "media"]
-            rows = [dict(zip([f.name for f in kind], _row(parse(v.as_py())), strict=True)) for v in batch[content]]
+            rows = [dict(zip([f.name for f in kind], _parsed(v.as_py()), strict=True)) for v in batch[content]]
             yield pa.RecordBatch.from_arrays([batch[n] for n in names] + [pa.array(rows, kind)], [*names, "media"])
 
     return files.mapInArrow(run, schema)
@@ -364,11 +385,11 @@ def stored_payloads(docs: DataFrame, block: int = 576) -> DataFrame:
     """Texts stored as streams and read back.
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature. The payload is the text in UTF-8 with bytes 255 up to
+    media_sha256, feature, duration_us, seek_offsets. The payload is the text in UTF-8 with bytes 255 up to
     a positive multiple of ``block``.
     """
     require(docs, "doc_id", "text")
-    fields = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    fields = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, duration_us bigint, seek_offsets array<bigint>"
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)])
     for f in T._parse_datatype_string(fields):
         schema = schema.add(f)
@@ -379,8 +400,8 @@ def stored_payloads(docs: DataFrame, block: int = 576) -> DataFrame:
 
         import pyarrow as pa
 
-        kinds = [pa.string() if f.dataType == T.StringType() else pa.int64() for f in schema.fields[1:]]
-        for batch in batches:
+        kinds = [pa.string() if f.dataType == T.StringType() else pa.int64() for f in schema.fields[1:-1]] + [pa.list_(pa.int64())]
+        for batch in sliced(batches, "text"):
             rows = []
             for value in batch["text"]:
                 raw = (value.as_py() or "").encode("utf-8", "surrogatepass")
@@ -392,7 +413,7 @@ def stored_payloads(docs: DataFrame, block: int = 576) -> DataFrame:
                     f"mpeg{_NAMES[stream.kind[0]]}.{stream.kind[1]};hz={stream.hertz};frames={len(stream.offsets)};samples={stream.samples};"
                     f"us={stream.duration_us};{stream.table['name']}={stream.table['bytes']};music={stream.table['music_crc']:04x};seek={seek:08x}"
                 )
-                rows.append((len(raw), len(back), sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), sha256(media).hexdigest(), feature))
+                rows.append((len(raw), len(back), sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), sha256(media).hexdigest(), feature, stream.duration_us, stream.offsets))
             cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch["doc_id"]] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], schema.names)
 

@@ -242,9 +242,44 @@ def test_media_round_trip(odd, none):
     assert sorted(r["payload_sha256"] for r in got) == sorted(
         sha256(b + b"\xff" * (-len(b) % 576 or 576 * (not b))).hexdigest() for b in ((t or "").encode() for t in [*TEXTS, None])
     )
+    assert all(r["duration_us"] == 24_000 * len(r["seek_offsets"]) and r["seek_offsets"] == sorted(r["seek_offsets"]) for r in got)
     assert media.stored_payloads(none).count() == 0
 
 
+def test_media_parser_reads_anything():
+    """Cut, damaged and hostile files: each has a row of the declared types, with an error at worst."""
+    import os
+    import random
+    import struct
+
+    import pyarrow as pa
+
+    from brightloom.llm import media
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(T._parse_datatype_string(media.COLUMNS))
+    rng = random.Random(4)
+    whole = media.build(os.urandom(3_000))
+    frame = whole[media.id3v2(whole)[1] :]
+    vbri = bytearray(frame[:200])
+    vbri[36:62] = b"VBRI" + bytes(6) + struct.pack(">II4H", 1, 2, 65535, 65535, 4, 9)
+    files = [
+        b"ID3\x04\0\x40\0\0\0\x02\x01", b"ID3\x04\0\x40\0\0\0\0", b"ID3\x03\0\x40\0\0\0\x03\0\0", bytes(vbri), bytes(vbri) + frame, frame[:36] + b"VBRI" + frame[40:58],
+        b"ID3\x02\0\0\0\0\0\x0bTT2\0\0\x05\0abcd" + frame, b"\xff", b"\xff\xfb", b"TAG", b"TAG" + bytes(125),
+    ]
+    for _ in range(600):
+        hurt = bytearray(whole[: rng.randrange(len(whole))] if rng.random() < 0.5 else whole)
+        for _ in range(rng.randrange(20)):
+            if hurt:
+                hurt[rng.randrange(len(hurt))] = rng.choice((0, 255, rng.randrange(256)))
+        files.append(bytes(hurt))
+    rows = [media._parsed(f) for f in files]
+    assert len(pa.array([dict(zip([f.name for f in kind], r, strict=True)) for r in rows], kind)) == len(files)
+    assert all(r[-1] is None for r in rows) and rows[6][6] == {"TT2": "abcd"}
+    assert media._parsed(7)[-1].startswith("TypeError")  # what can't be read at all
+
+
 def test_media_columns(spark):
     from brightloom.llm import media
 
