@@ -109,16 +109,16 @@ def spread(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: str, rank: str, rows: int) -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str], order: str, rank: str, rows: int, deal: str | None = None) -> DataFrame:
     """``df`` with ``rank``: 0, 1, ... within ``keys`` (not null), whatever share of the rows a key has.
 
-    Rows of a key are dealt by the hash of ``order`` (unique in ``df``) over
-    buckets of bounded size. Buckets are counted with partial sums, counts are
+    Rows of a key are dealt by the hash of ``deal`` or of ``order`` (unique in
+    ``df``) over buckets of bounded size. Buckets are counted with partial sums, counts are
     summed up before each bucket, and only single buckets are sorted. ``df`` is
     read twice and must give the same rows each time (a stored table does).
     """
     buckets = max(2 * shuffle_partitions(df.sparkSession), rows // 20_000 + 1)
-    dealt = df.withColumn("_bucket", spread(F.col(order), buckets))
+    dealt = df.withColumn("_bucket", spread(F.col(deal or order), buckets))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -135,18 +136,26 @@ def test_line_dedup(spark):
     assert dedup_lines(df.limit(0)).count() == 0
 
 
+def check_shards(rows, got, shards=16):
+    """Sizes, checksums, balance and slots against the texts themselves."""
+    crc = lambda t: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, *crc(t)) for i, t in rows)
+    counts = Counter(r["shard"] for r in got)
+    assert set(counts) == set(range(shards)) and max(counts.values()) - min(counts.values()) <= 1
+    for s in counts:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(counts[s]))
+
+
 def test_sharding(spark):
     from brightloom.llm.sharding import shards_by_labels
 
     rng = random.Random(6)
     texts = [f"g{rng.randrange(60)}" if i % 3 else f"s{i}" for i in range(900)] + ["hot"] * 450 + [None, None, ""]
     rng.shuffle(texts)
-    df = spark.createDataFrame([(None if i == 5 else i // 2 * 2, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, shard string")
+    rows = [(None if i == 5 else i // 2 * 2, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id int, text string, shard string")
     got = shards_by_labels(df).collect()
-    counts = Counter(r["shard"] for r in got)
-    assert len(got) == len(texts) and set(counts) == set(range(16)) and max(counts.values()) - min(counts.values()) <= 1
-    for s in counts:
-        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(counts[s]))
+    check_shards(rows, got)
     groups = defaultdict(Counter)
     for r in got:
         groups[r["size"], r["text_crc32"]][r["shard"]] += 1
@@ -155,6 +164,52 @@ def test_sharding(spark):
     assert shards_by_labels(df.limit(0)).count() == 0 and [r["shard"] for r in shards_by_labels(df.limit(1)).collect()] == [0]
 
 
+@pytest.mark.parametrize("groups, single, most_cut", [([3_300] + [5] * 900, 2_200, 12), ([200] * 5 + [4] * 1_000, 200, 20), ([2] * 2_000, 100, 60)])
+def test_sharding_keeps_groups_together_when_shards_are_full(spark, groups, single, most_cut):
+    """One group of several shards' size, some of a shard's, and many small ones, with little room beside them."""
+    from brightloom.llm.sharding import cut_edges, shards_by_labels
+    from pyspark.sql import functions as F
+
+    texts = [f"g{k}" for k, n in enumerate(groups) for _ in range(n)] + [f"s{i}" for i in range(single)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = shards_by_labels(df.repartition(3)).collect()
+    check_shards(rows, got)
+    at = {r["doc_id"]: r["shard"] for r in got}
+    parts = defaultdict(set)
+    for i, t in rows:
+        parts[t].add(at[i])
+    size, share = Counter(texts), len(rows) // 16
+    cut = [t for t, p in parts.items() if size[t] > 1 and len(p) > (1 if size[t] <= share else -(-size[t] // (share // 2)))]
+    assert len(cut) <= most_cut, (len(cut), len(groups))
+    again = {r["doc_id"]: r["shard"] for r in shards_by_labels(df.repartition(7, F.rand(5))).collect()}
+    assert again == at
+    placed = spark.createDataFrame([(t, at[i], i % 16) for i, t in rows], "text string, shard int, before int")
+    after, before = (cut_edges(placed, ["text"], c).first() for c in ("shard", "before"))
+    brute = sum(n * (n - 1) // 2 for n in size.values())
+    inside = sum(n * (n - 1) // 2 for n in Counter((t, at[i]) for i, t in rows).values())
+    assert (after["pairs"], after["cut"]) == (brute, brute - inside) and after["cut"] < before["cut"]
+
+
+def test_sharding_by_columns_and_edges(spark):
+    """Links by either of two columns, and by an edge table that joins whole groups."""
+    from brightloom.llm.sharding import shards_by_labels
+
+    rng = random.Random(3)
+    rows = [(i, f"t{i}", f"h{i // 4}" if i < 400 else None, f"u{i // 8}" if i < 300 else None) for i in range(1_600)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id int, text string, host string, user string")
+    got = shards_by_labels(df, links=["host", "user"]).collect()
+    check_shards([r[:2] for r in rows], got)
+    at = {r["doc_id"]: r["shard"] for r in got}
+    assert sum(at[i] == at[i // 8 * 8] for i in range(296)) > 0.8 * 296 and sum(at[i] == at[i // 4 * 4] for i in range(400)) > 0.85 * 400
+    chain = spark.createDataFrame([(i, i + 1) for i in range(0, 400) if i % 10 != 9], "a int, b int")
+    got = shards_by_labels(df.drop("host"), links=[], edges=chain).collect()
+    check_shards([r[:2] for r in rows], got)
+    at = {r["doc_id"]: r["shard"] for r in got}
+    assert sum(at[a] == at[b] for a, b in ((i, i + 1) for i in range(400) if i % 10 != 9)) > 0.5 * 360  # 1 in 16 by chance
+
+
 def test_sql_of_queries(spark):
     duckdb = pytest.importorskip("duckdb")
     from brightloom.llm import queries, sql
