@@ -412,11 +412,25 @@ def test_secret_queries_and_spans(spark, odd, none):
 
 
 def test_licenses(spark, odd, none):
-    from brightloom.llm.licenses import TEMPLATES, scan
+    from brightloom.llm.licenses import TEMPLATES, scan, template_shingles
 
     filler = " ".join(f"w{i}" for i in range(300))
     texts = [None, "", "MIT", f"{filler} released under the MIT license. {filler}", f"{filler} {TEMPLATES['MIT-text']} {filler}", " ".join(TEMPLATES["GPL-header"].split()[:-2]), " ".join(TEMPLATES["GPL-header"].split()[:20])]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(3, texts[3], None)], "doc_id int, text string, license string")
     got = sorted((r["doc_id"], r["license"]) for r in scan(df).collect())
-    assert got == [(3, "MIT"), (3, "MIT"), (4, "MIT-text"), (5, "GPL-header")]
+    # The GNU notices share most of their words, so the other versions hold 80 percent of themselves in the text too.
+    gnu = [(5, n) for n in ("AGPL-3.0-header", "GPL-2.0-header", "GPL-header", "LGPL-3.0-header")]
+    assert got == [(3, "MIT"), (3, "MIT"), (4, "MIT-text"), *gnu]
+    shares = {r["license"]: r["n_matched"] / r["n_template"] for r in scan(df.where("doc_id = 5")).collect()}
+    assert max(shares, key=shares.get) == "GPL-header"
+    whole = spark.createDataFrame([(i, f"{filler} {t} {filler}") for i, t in enumerate(TEMPLATES.values())], "doc_id int, text string")
+    found = {(r["doc_id"], r["license"]): (r["n_matched"], r["n_template"]) for r in scan(whole).collect()}
+    assert all(found[i, name][0] == found[i, name][1] for i, name in enumerate(TEMPLATES))
+    grams = {name: set(s) for name, s in template_shingles(TEMPLATES).items()}
+    texts = template_shingles({str(i): f"{filler} {t} {filler}" for i, t in enumerate(TEMPLATES.values())})
+    assert set(found) == {(int(i), name) for i, s in texts.items() for name, g in grams.items() if 100 * len(g & set(s)) >= 80 * len(g)}
+    # A template set of any size, as a license text of thousands of words.
+    own = {f"own{k}": " ".join(f"{chr(97 + k)}{i}" for i in range(3_000)) for k in range(4)}
+    long = spark.createDataFrame([(1, f"{filler} {own['own2']} {filler}"), (2, " ".join(own["own1"].split()[:2_000]))], "doc_id int, text string")
+    assert [(r["doc_id"], r["license"]) for r in scan(long, own).collect()] == [(1, "own2")]
     assert scan(odd).count() == 0 and scan(none).count() == 0
