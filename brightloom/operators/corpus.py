@@ -68,31 +68,79 @@ def feature_vector(normal: Column) -> Column:
     return let(counts, scaled)
 
 
-def near_duplicate_pairs(vectors: DataFrame, threshold: float = 0.9, id_column: str = "id", vector: str = "vector", pivots: int = 3) -> DataFrame:
-    """All pairs a < b with cosine >= threshold: (a, b, cosine), exact.
+def near_duplicate_pairs(vectors: DataFrame, threshold: float = 0.9, id_column: str = "id", vector: str = "vector", pivots: int = 3, block: int = 2048) -> DataFrame:
+    """All pairs a < b with cosine >= threshold: (a, b, cosine), exact. Vectors without length match nothing.
 
     Angles obey the triangle inequality, so two vectors within the threshold's
     angle differ by no more than it in their angle to any pivot. Rows are dealt to
-    cells of that width in the angles to a few axes and meet only the
-    neighbouring cells, so no vector is compared with all others. Vectors without
-    length match nothing.
+    cells of that width in the angles to a few axes and meet only neighbouring
+    cells. A cell's rows are split into blocks of about ``block`` rows by hash, so
+    a cell where vectors cluster is many small tasks; a task multiplies two blocks
+    as matrices and gives out only the pairs it finds. Work is quadratic where
+    vectors point one way, as no bound tells them apart, but memory is not.
     """
     width = math.acos(max(-1.0, min(1.0, threshold))) * (1 + 1e-9) or 1e-6
-    as_double = F.transform(F.col(vector), lambda x: x.cast("double"))
-    base = vectors.select(F.col(id_column).alias("id"), as_double.alias("v"))
-    base = base.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).where("norm > 0")
-    unit = base.select("id", F.transform("v", lambda x: F.try_divide(x, F.col("norm"))).alias("v"))
-    # Pivot k: the sum of each pivots-th axis, from k on; the angle needs no pass over the data.
-    along = lambda k: F.aggregate(F.filter(F.col("v"), lambda x, i: i % pivots == k), F.lit(0.0), lambda s, x: s + x) / F.sqrt(F.ceil((F.size("v") - k) / pivots).cast("double"))
-    cell = lambda k: F.floor(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), along(k)))) / width).cast("int")
-    placed = unit.select("id", "v", *[cell(k).alias(f"c{k}") for k in range(pivots)])
-    left = placed
-    for k in range(pivots):
-        left = left.withColumn(f"c{k}", F.explode(F.array(*[F.col(f"c{k}") + d for d in (-1, 0, 1)])))
-    right = placed.select(F.col("id").alias("b"), F.col("v").alias("w"), *[F.col(f"c{k}").alias(f"d{k}") for k in range(pivots)])
-    on = [F.col(f"c{k}") == F.col(f"d{k}") for k in range(pivots)] + [F.col("id") < F.col("b")]
-    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return left.join(right, on).select(F.col("id").alias("a"), "b", dot.alias("cosine")).where(F.col("cosine") >= threshold)
+    unit = _unit(vectors.select(F.col(id_column).alias("id"), F.col(vector).alias("v")), width, pivots)
+    cells = [f"c{k}" for k in range(pivots)]
+    counts = unit.groupBy(*cells).agg(F.count(F.lit(1)).alias("n"))
+    # A table of cells with their blocks, and of the block pairs of cells that touch: its size is that of the cells, not of the rows.
+    blocks = counts.select(*cells, F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block).cast("int"))).alias("b"))
+    near = blocks
+    for c in cells:
+        near = near.withColumn(f"o{c}", F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)])))
+    other = blocks.select(*[F.col(c).alias(f"p{c}") for c in cells], F.col("b").alias("pb"))
+    mine, theirs = F.struct(*cells, "b"), F.struct(*[F.col(f"p{c}") for c in cells], F.col("pb"))
+    pairs = near.join(other, [F.col(f"o{c}") == F.col(f"p{c}") for c in cells]).select(mine.alias("l"), theirs.alias("r")).where("l <= r")
+    pairs = pairs.select(F.xxhash64("l", "r").alias("task"), F.col("l").cast("string").alias("left"), F.col("r").cast("string").alias("right"))
+    needs = pairs.select("task", F.explode(F.array(F.struct(F.col("left").alias("at"), F.lit(0).alias("side")), F.struct(F.col("right").alias("at"), F.lit(1).alias("side")))).alias("x")).select("task", "x.*")
+    # A block with itself needs one side.
+    needs = needs.groupBy("task", "at").agg(F.min("side").alias("side"))
+    sized = unit.join(counts.withColumnsRenamed({c: f"p{c}" for c in cells}), [F.col(c) == F.col(f"p{c}") for c in cells])
+    own = F.pmod(F.xxhash64("id"), F.floor((F.col("n") - 1) / block) + 1).cast("int")
+    placed = sized.select("id", "v", F.struct(*cells, own.alias("b")).cast("string").alias("place"))
+    met = placed.join(needs, F.col("place") == F.col("at")).select("task", "side", "id", "v")
+    kind = vectors.schema[id_column].dataType.simpleString()
+
+    def run(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, side = np.array(rows["id"].to_pylist()), rows["side"].to_numpy()
+        x = np.stack(rows["v"].to_numpy(zero_copy_only=False))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        one = not len(right)
+        right = left if one else right
+        found = x[left] @ x[right].T
+        i, j = np.nonzero(found >= threshold)
+        a, b = ids[left[i]], ids[right[j]]
+        keep = a < b if one else a != b
+        a, b, c = a[keep], b[keep], found[i, j][keep]
+        swap = a > b
+        pair = [pa.array(x.tolist(), rows["id"].type) for x in (np.where(swap, b, a), np.where(swap, a, b))]
+        return pa.table([*pair, pa.array(c, pa.float64())], ["a", "b", "cosine"])
+
+    return met.groupBy("task").applyInArrow(run, f"a {kind}, b {kind}, cosine double")
+
+
+def _unit(vectors: DataFrame, width: float, pivots: int) -> DataFrame:
+    """(id, v, c0, ...): vectors scaled to length 1, and their cells by the angles to ``pivots`` axes."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, values = batch["id"], batch["v"]
+            rows = [(i, np.asarray(v, np.float64)) for i, v in zip(ids.to_pylist(), values.to_numpy(zero_copy_only=False), strict=True) if v is not None]
+            rows = [(i, v / n) for i, v in rows if np.isfinite(v).all() and (n := float(np.sqrt(v @ v))) > 0]
+            # Axis k is the sum of each pivots-th coordinate, from k on; the angle needs no pass over the data.
+            along = [[float(v[k::pivots].sum()) / math.sqrt(max(1, len(v[k::pivots]))) for _, v in rows] for k in range(pivots)]
+            cells = [pa.array(np.floor(np.arccos(np.clip(a, -1, 1)) / width).astype(np.int32), pa.int32()) for a in along]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], ids.type), pa.array([v for _, v in rows], pa.list_(pa.float64())), *cells], names)
+
+    names = ["id", "v", *[f"c{k}" for k in range(pivots)]]
+    schema = f"id {vectors.schema['id'].dataType.simpleString()}, v array<double>, " + ", ".join(f"c{k} int" for k in range(pivots))
+    return vectors.mapInArrow(run, schema)
 
 
 def turn_structure(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -109,9 +157,11 @@ def turn_structure(turns: DataFrame, key: str = "conv_id", order: str = "turn")
     return body.groupBy(key).agg(F.count(F.lit(1)).alias("n_turns"), F.min(good & filled).alias("valid"))
 
 
-def quality_columns(duration_ms: Column, snr_db: Column | None, answer: Column, prefix: Column, low: float = 200.0, high: float = 30000.0, min_snr: float | None = None) -> dict[str, Column]:
-    """duration_ok, snr_ok (null: unknown), answer_canonical, issues."""
-    duration_ok = F.coalesce(duration_ms.between(low, high), F.lit(True))
+def quality_columns(
+    duration_ms: Column, snr_db: Column | None, answer: Column, prefix: Column, low: float = 200.0, high: float = 30000.0, min_snr: float | None = None, longest: Column | None = None
+) -> dict[str, Column]:
+    """duration_ok, snr_ok (null: unknown), answer_canonical, issues; with several clips ``duration_ms`` is the shortest."""
+    duration_ok = F.coalesce((duration_ms >= low) & ((duration_ms if longest is None else longest) <= high), F.lit(True))
     snr_ok = F.lit(None).cast("boolean") if snr_db is None or min_snr is None else snr_db >= min_snr
     canonical = F.coalesce(F.startswith(answer, prefix), F.lit(False))
     flags = (~duration_ok, F.coalesce(~snr_ok, F.lit(False)), ~canonical)

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.core.canonical import canonical_dumps, exact_keys, read_json, write_json
+from brightloom.core import files
+from brightloom.core.canonical import canonical_dumps, exact_keys
 from brightloom.core.errors import SchemaError, ValidationError
 from brightloom.functions import text as tx
 from brightloom.operators import corpus
-from brightloom.operators.generate import DOMAINS
+from brightloom.operators.domains import DOMAINS
 
 KEYS = {"schema", "schema_version", "sample_count", "languages", "domains", "intents", "total_duration_ms", "dataset_hashes", "mixing_weights", "quality", "content_hash"}
 
@@ -25,7 +25,7 @@ def render_samples(examples: DataFrame, domain: str, language: str, dataset_hash
     if domain not in DOMAINS or len(dataset_hash) != 64 or set(dataset_hash) - set("0123456789abcdef"):
         raise ValidationError("needs a known domain and a hash of 64 hex characters")
     sample_id = F.concat(F.lit(f"{domain}-"), F.col("utterance_id"))
-    slots = tx.slots_text(F.col("slot_values"), list(DOMAINS[domain]["slots"]), corpus.NO_SLOTS[language])
+    slots = tx.slots_text(F.col("slot_values"), [s["name"] for s in DOMAINS[domain]["slots"]], corpus.NO_SLOTS[language])
     before, between = corpus.ANSWERS[language].split("{intent}")[0], corpus.ANSWERS[language].split("{intent}")[1].split("{slots}")[0]
     answer = F.concat(F.lit(before), F.col("intent"), F.lit(between), slots)
     audio = F.struct(sample_id.alias("manifest_id"), F.lit(dataset_hash).alias("dataset_hash"), (F.col("n_samples") / rate * 1000.0).alias("duration_ms"))
@@ -44,15 +44,18 @@ def render_samples(examples: DataFrame, domain: str, language: str, dataset_hash
 
 def with_quality(samples: DataFrame, snr: DataFrame | None = None, **bounds) -> DataFrame:
     """Samples with quality columns; ``snr`` (manifest_id, snr_db) may know some of them."""
-    audio = F.filter("turns", lambda t: t["audio"].isNotNull())
-    duration = F.array_max(F.transform(audio, lambda t: t["audio"]["duration_ms"]))
+    clips = F.transform(F.filter("turns", lambda t: t["audio"].isNotNull()), lambda t: t["audio"])
     answer = F.element_at("turns", -1)["text"]
     prefix = F.coalesce(*[F.when(F.col("language") == k, F.lit(corpus.answer_prefix(k))) for k in corpus.ANSWERS])
+    shortest, longest = (f(F.transform(clips, lambda c: c["duration_ms"])) for f in (F.array_min, F.array_max))
     if snr is None:
-        return samples.withColumns(corpus.quality_columns(duration, None, answer, prefix, **bounds))
-    known = snr.select(F.col("manifest_id").alias("_m"), "snr_db")
-    joined = samples.join(known, F.col("sample_id") == F.col("_m"), "left")
-    return joined.withColumns(corpus.quality_columns(duration, F.col("snr_db"), answer, prefix, **bounds)).drop("_m", "snr_db")
+        return samples.withColumns(corpus.quality_columns(shortest, None, answer, prefix, longest=longest, **bounds))
+    # Each clip is looked up by its own manifest id; the worst of the known ones decides.
+    each = samples.select("sample_id", F.explode(F.array_distinct(F.transform(clips, lambda c: c["manifest_id"]))).alias("_m"))
+    known = each.join(snr.select(F.col("manifest_id").alias("_k"), "snr_db"), F.col("_m") == F.col("_k"))
+    worst = known.groupBy(F.col("sample_id").alias("_s")).agg(F.min("snr_db").alias("_snr"))
+    joined = samples.join(worst, F.col("sample_id") == F.col("_s"), "left")
+    return joined.withColumns(corpus.quality_columns(shortest, F.col("_snr"), answer, prefix, longest=longest, **bounds)).drop("_s", "_snr")
 
 
 def _ordered_hash(rows: DataFrame) -> str:
@@ -69,8 +72,11 @@ def export(samples: DataFrame, out: str, mixing_weights: dict[str, float] | None
     """Writes canonical JSON lines, then the manifest, and returns it."""
     from brightloom.sources.files import write_jsonl
 
-    if os.path.exists(f"{out}/manifest.json") and not overwrite:
-        raise ValidationError(f"{out} holds an export already")
+    spark = samples.sparkSession
+    if files.exists(spark, f"{out}/manifest.json"):
+        if not overwrite:
+            raise ValidationError(f"{out} holds an export already")
+        files.delete(spark, f"{out}/manifest.json")  # rows that change have no manifest
     columns = samples.columns
     if samples.groupBy("sample_id").count().where("count > 1").limit(1).count():
         raise ValidationError("sample ids repeat")
@@ -87,7 +93,7 @@ def export(samples: DataFrame, out: str, mixing_weights: dict[str, float] | None
         "quality": {"passed": passed["p"], "failed": passed["n"] - passed["p"], "issues": count(flags.select(F.explode("issues").alias("issue")), "issue")},
         "content_hash": _ordered_hash(samples.select(*columns)),
     }
-    write_json(f"{out}/manifest.json", manifest)
+    files.write_json(spark, f"{out}/manifest.json", manifest)
     return manifest
 
 
@@ -95,7 +101,9 @@ def load(spark: SparkSession, out: str, schema) -> tuple[DataFrame, dict]:
     """The samples and manifest of an export; a changed or missing row is a SchemaError."""
     from brightloom.sources.files import read_jsonl
 
-    manifest = exact_keys(read_json(f"{out}/manifest.json"), KEYS, "manifest")
+    manifest = exact_keys(files.read_json(spark, f"{out}/manifest.json"), KEYS, "manifest")
+    if manifest["schema"] != "brightloom.export" or manifest["schema_version"] is True or manifest["schema_version"] != 1:
+        raise SchemaError("unknown schema or version")
     rows = read_jsonl(spark, f"{out}/instructions", schema)
     if rows.where("_error is not null").limit(1).count():
         raise SchemaError("an exported row can't be read")

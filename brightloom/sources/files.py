@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightloom.core.canonical import exact_keys, read_json, write_json
-from brightloom.core.errors import SchemaError
+from brightloom.core import files
+from brightloom.core.canonical import exact_keys
+from brightloom.core.errors import SchemaError, ValidationError
 
 MAX_WAV_BYTES = 64 * 1024 * 1024
 
@@ -48,17 +49,54 @@ def read_wav_folder(spark: SparkSession, path: str, max_bytes: int = MAX_WAV_BYT
     return wav_columns(files.where(F.col("length") <= max_bytes).select("path", "content"))
 
 
+def write_wavs(rows: DataFrame, folder: str, name: str = "utterance_id", samples: str = "samples", rate: int = 16000) -> DataFrame:
+    """One WAV file for each row, written by the executors: (name, path, n_bytes); nothing is written before the result is.
+
+    ``folder`` is a path or URI that pyarrow's file systems reach on every executor.
+    """
+    from brightloom.core.canonical import validate_id
+
+    schema = T.StructType([rows.schema[name]]).add("path", "string").add("n_bytes", "long")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyarrow import fs
+
+        from brightloom.signal.kernels import build_wav, to_pcm16
+
+        store, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            paths, sizes = [], []
+            for key, values in zip(batch[name].to_pylist(), batch[samples], strict=True):
+                data = build_wav(to_pcm16(np.asarray(values.as_py(), np.float64)), rate)
+                paths.append(f"{base}/{validate_id(key)}.wav")
+                # A task that runs twice writes the same bytes in the same place.
+                with store.open_output_stream(paths[-1]) as out:
+                    out.write(data)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([batch[name], pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], [name, "path", "n_bytes"])
+
+    return rows.select(name, samples).mapInArrow(run, schema)
+
+
 def save_table(rows: DataFrame, path: str, envelope: dict, partition_by: str | None = None, overwrite: bool = False) -> None:
-    """Rows as Parquet, then the envelope: a dataset without one is not complete."""
+    """Rows as Parquet, then the envelope: a dataset without one is not complete. An old envelope goes before its rows do."""
+    spark = rows.sparkSession
+    if files.exists(spark, f"{path}/envelope.json"):
+        if not overwrite:
+            raise ValidationError(f"{path} holds a table already")
+        files.delete(spark, f"{path}/envelope.json")
     writer = rows.write.mode("overwrite" if overwrite else "errorifexists")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{path}/rows")
-    count = rows.sparkSession.read.parquet(f"{path}/rows").count()
-    write_json(f"{path}/envelope.json", {"schema": "brightloom-table", "schema_version": 1, "count": count, "content": envelope})
+    count = spark.read.parquet(f"{path}/rows").count()
+    files.write_json(spark, f"{path}/envelope.json", {"schema": "brightloom-table", "schema_version": 1, "count": count, "content": envelope})
 
 
 def load_table(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    envelope = exact_keys(read_json(f"{path}/envelope.json"), {"schema", "schema_version", "count", "content"}, "envelope")
-    if envelope["schema"] != "brightloom-table" or envelope["schema_version"] != 1:
+    envelope = exact_keys(files.read_json(spark, f"{path}/envelope.json"), {"schema", "schema_version", "count", "content"}, "envelope")
+    if envelope["schema"] != "brightloom-table" or envelope["schema_version"] is True or envelope["schema_version"] != 1:
         raise SchemaError("unknown schema or version")
     rows = spark.read.parquet(f"{path}/rows")
     if rows.count() != envelope["count"]:

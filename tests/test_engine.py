@@ -121,3 +121,58 @@ def test_near_duplicate_pairs_are_exact(spark):
     n = np.linalg.norm(v, axis=1)
     want = {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if n[i] * n[j] > 0 and v[i] @ v[j] / (n[i] * n[j]) >= 0.9}
     assert {(r["a"], r["b"]) for r in corpus.near_duplicate_pairs(df, 0.9).collect()} == want
+
+
+@pytest.mark.parametrize("kind", ["tcn", "gru"])
+def test_sessions_go_on_from_snapshots(kind):
+    from brightloom.core.canonical import canonical_dumps, canonical_loads
+
+    model = JointModel({"kind": kind, "n_mels": 16, "hidden": 8, "layers": 2, "intents": ["a", "b"], "tags": ["O", "B-x", "I-x"]}, seed=3)
+    audio = k.chirp(200, 3000, 13120, 16000, 0.5)
+    whole, parts = StreamSession(model), StreamSession(model)
+    for i in range(0, len(audio), 1000):
+        whole.push(audio[i : i + 1000])
+        parts.push(audio[i : i + 1000])
+        parts = StreamSession.restore(canonical_loads(canonical_dumps(parts.snapshot())), model)
+    assert parts.finalize() == whole.finalize()
+    good = whole.snapshot()
+    for change in ({"model_hash": "x"}, {"frames": 3}, {"revisions": -1}, {"pending": [0.0] * 9}, {"intent": "c"}, {"more": 1}, {"schema_version": True}):
+        with pytest.raises(SchemaError):
+            StreamSession.restore(good | change, model)
+
+
+def test_buffer():
+    from brightloom.streaming.session import AudioBuffer
+
+    b = AudioBuffer(5)
+    b.append([1, 2, 3])
+    assert b.pending == 3 and b.peek().tolist() == [1, 2, 3] and b.consume(2).tolist() == [1, 2] and b.pending == 1
+    for wrong in (lambda: b.append([0] * 5), lambda: b.consume(2), lambda: b.append([float("nan")])):
+        with pytest.raises(StreamingError):
+            wrong()
+    b.clear()
+    assert b.pending == 0
+
+
+def test_sessions_as_a_streaming_operator(spark, tmp_path):
+    """Chunks over several micro-batches give the offline tags; a gap ends a session with an error."""
+    from brightloom.streaming.session import stream_sessions
+
+    model = JointModel({"kind": "tcn", "n_mels": 8, "hidden": 6, "layers": 1, "intents": ["a", "b"], "tags": ["O", "B-x"]}, seed=2)
+    audio = {f"s{n}": k.chirp(150 + 90 * n, 2500, 6000, 16000, 0.5) for n in range(3)}
+    schema = "session_id string, seq bigint, samples array<double>, last boolean"
+    for part in range(3):
+        rows = [(s, q, x[q * 1000 : q * 1000 + 1000].tolist(), q == 5) for s, x in audio.items() for q in (2 * part, 2 * part + 1)]
+        if part == 1:
+            rows.append(("gap", 3, [0.0], False))
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = stream_sessions(source, model)
+    query = out.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out"))
+    assert query.awaitTermination(180)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    for s, x in audio.items():
+        mine = sorted((r for r in got if r["session_id"] == s), key=lambda r: r["seq"])
+        intent, tags = model.predict(k.log_mel(x, n_mels=8))
+        assert [t for r in mine for t in r["tags"]] == tags and mine[-1]["intent"] == intent and mine[-1]["finished"] and mine[-1]["error"] is None
+    assert [r["error"] for r in got if r["session_id"] == "gap"] == ["chunk 0 is missing"]
