@@ -51,6 +51,17 @@ def is_valid_sequence(tags: Column, bioes: bool = False) -> Column:
     return F.coalesce(let(tags, lambda t: _valid(t, bioes)), F.lit(False))
 
 
+def first_invalid(tags: Column) -> Column:
+    """The place of the first BIO tag that is illegal or may not follow the one before it; -1 if there is none."""
+
+    def bad(t: Column) -> Column:
+        at = F.transform(t, lambda x, i: F.struct(x.alias("t"), _before(t, i).alias("p")))
+        wrong = F.transform(at, lambda x: ~(is_valid_tag(x["t"]) & ((prefix(x["t"]) != "I") | _continues(x["p"], x["t"], ("B", "I")))))
+        return F.array_position(wrong, True).cast("int") - 1
+
+    return let(tags, bad)
+
+
 def _valid(tags: Column, bioes: bool) -> Column:
     legal = F.forall(tags, lambda t: is_valid_tag(t, bioes))
     at = F.transform(tags, lambda t, i: F.struct(t.alias("t"), _before(tags, i).alias("p"), _after(tags, i).alias("n")))

@@ -149,21 +149,30 @@ def bootstrap_exact(hits: list[float], seed: int, replicates: int = 1000, confid
     return {"estimate": float(values.mean()), "low": float(low), "high": float(high), "replicates": replicates, "confidence": confidence, "seed": seed}
 
 
-def bootstrap_scalable(rows: DataFrame, top: str, bottom: Column, key: str, replicates: int = 200, confidence: float = 0.95, seed: int = 0) -> DataFrame:
-    """Percentile interval of sum(top) / sum(bottom) under Poisson(1) weights by hash, for any number of records.
-
-    Each record meets ``replicates`` weights in one array; sums of all replicates
-    are aggregated partially, so the shuffle has one row for each task and replicate.
-    """
-    # Poisson(1) by inversion of a hash: cumulative probabilities of 0, 1, 2, ...
+def poisson_cuts(scale: int) -> list[int]:
+    """Cumulative probabilities of 0, 1, 2, ... under Poisson(1), out of ``scale``."""
     cuts, total, p = [], 0.0, 0.36787944117144233
     for k in range(1, 9):
         total += p
-        cuts.append(int(total * 1_000_000))
+        cuts.append(int(total * scale))
         p /= k
-    u = lambda r: F.pmod(F.xxhash64(F.col(key), r, F.lit(seed)), F.lit(1_000_000))
-    weight = lambda r: F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= u(r)))
-    each = rows.select(F.col(top).cast("double").alias("t"), bottom.cast("double").alias("b"), key).select("t", "b", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), weight)).alias("r", "w"))
+    return cuts
+
+
+def bootstrap_scalable(rows: DataFrame, top: str, bottom: Column, key: str, replicates: int = 200, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+    """Percentile interval of sum(top) / sum(bottom) under Poisson(1) weights, for any number of records.
+
+    Each record has ``replicates`` weights in one array, by inversion of hash digits
+    (20 bits each, 12 to a hash); sums of all replicates are aggregated partially,
+    so the shuffle has one row for each task and replicate.
+    """
+    cuts = F.array(*[F.lit(c) for c in poisson_cuts(1 << 20)])
+    prefix = F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"), F.lit("|"))
+    digit = lambda h, j: F.conv(F.substring(h, j * 5 + 1, F.lit(5)), 16, 10).cast("int")
+    weight = lambda u: F.size(F.filter(cuts, lambda c: c <= u))
+    hashes = F.transform(F.sequence(F.lit(0), F.lit((replicates - 1) // 12)), lambda b: F.sha2(F.concat(prefix, b.cast("string")), 256))
+    weights = F.slice(F.flatten(F.transform(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.lit(11)), lambda j: weight(digit(h, j))))), 1, replicates)
+    each = rows.select(F.col(top).cast("double").alias("t"), bottom.cast("double").alias("b"), key).select("t", "b", F.posexplode(weights).alias("r", "w"))
     stats = each.groupBy("r").agg((F.sum(F.col("t") * F.col("w")) / F.sum(F.col("b") * F.col("w"))).alias("v"))
     tail = (1 - confidence) / 2
     ends = F.percentile("v", F.array(F.lit(tail), F.lit(1 - tail)))

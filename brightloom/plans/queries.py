@@ -122,7 +122,8 @@ def confusion_per_label(spark, sf_dir):
 
 def bootstrap_ci(spark, sf_dir):
     r = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == F.col("toxic")).cast("int").alias("ok"))
-    return scoring.bootstrap_scalable(r, "ok", F.lit(1), "doc_id", replicates=200)
+    ci = scoring.bootstrap_scalable(r, "ok", F.lit(1), "doc_id", replicates=200)
+    return ci.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "replicates")
 
 
 def percentile(spark, sf_dir):
@@ -172,7 +173,7 @@ def quality_report(spark, sf_dir):
 
 
 def template_render(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.replace(F.replace(F.lit(corpus.ANSWERS["en"]), F.lit("{intent}"), F.col("p_brand")), F.lit("{slots}"), F.col("p_type")).alias("answer"))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.render(corpus.ANSWERS["en"], {"intent": F.col("p_brand"), "slots": F.col("p_type")}).alias("answer"))
 
 
 def template_variables(spark, sf_dir):
@@ -187,13 +188,13 @@ def slots_text(spark, sf_dir):
 
 
 def tokenize_en(spark, sf_dir):
-    t = tx.tokens_by_space(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.element_at(t, 1).alias("first"), F.element_at(t, -1).alias("last"))
+    t = table(spark, sf_dir, "documents").select("doc_id", tx.tokenize(F.col("text"), "en").alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join("t", "\n"), 256).alias("tokens_sha256"))
 
 
 def tokenize_chars(spark, sf_dir):
-    t = tx.tokens_by_character(F.col("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(t).cast("long").alias("n_tokens"), F.array_join(F.slice(t, 1, 10), "|").alias("head"))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.tokenize(F.col("text"), "zh").alias("t"))
+    return t.select("conv_id", "turn", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join("t", "\n"), 256).alias("tokens_sha256"))
 
 
 def mixing_quotas(spark, sf_dir):
@@ -325,9 +326,12 @@ def validate_ids(spark, sf_dir):
 
 
 def fixture_lookup(spark, sf_dir):
-    """Requests (orders) answered from fixtures (customers with even keys); a miss is marked."""
-    fx = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_mktsegment")
-    return table(spark, sf_dir, "orders").join(fx, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce("c_mktsegment", F.lit("missing")).alias("response"))
+    """Requests (orders) answered from fixtures (customers)."""
+    from brightloom.serve.protocol import replay
+
+    fixtures = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.col("c_mktsegment").alias("response"))
+    answered = replay(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("request_id")), fixtures)
+    return answered.select("o_orderkey", F.coalesce("response", F.lit("missing")).alias("response"))
 
 
 def dataset_split_counts(spark, sf_dir):
@@ -391,4 +395,6 @@ NAMES = (
 
 
 def queries() -> dict:
-    return {n: globals()[n] for n in NAMES}
+    from brightloom.plans import more
+
+    return {n: globals()[n] for n in NAMES} | more.queries()

@@ -174,6 +174,12 @@ _WINDOW = "SELECT n, '{0}' AS name, round({1} - {2} * cos(2 * pi() * n / 400) +
 
 
 def oracle_sql() -> dict[str, str]:
+    from brightloom.plans import more_sql
+
+    return _oracle_sql() | more_sql.oracle_sql()
+
+
+def _oracle_sql() -> dict[str, str]:
     joined = lambda column, name="pro": f"WITH {EV} SELECT * FROM {JOINED.format(column, name)}"
     answer = ANSWERS["en"].split("{intent}")[1].split("{slots}")[0]
     return {
@@ -193,6 +199,7 @@ def oracle_sql() -> dict[str, str]:
         "confusion_per_label": PER_LABEL,
         "percentile": "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 6) AS low, round(quantile_cont(l_extendedprice, 0.975), 6) AS high FROM lineitem GROUP BY 1",
         "normalize_text": f"SELECT doc_id, {NORMAL} AS normalized FROM documents",
+        "normalize_text_full": f"SELECT doc_id, {NORMAL} AS normalized FROM documents",
         "text_hash": f"SELECT doc_id, {HASH} AS text_hash FROM documents",
         "exact_duplicate_groups": f"WITH h AS (SELECT doc_id, {HASH} AS text_hash FROM documents), g AS (SELECT text_hash, min(doc_id) AS first_id, count(*) AS n FROM h GROUP BY 1 HAVING count(*) > 1) SELECT doc_id, text_hash, first_id, n FROM h JOIN g USING (text_hash)",
         "gram_vector": GRAMS,
@@ -203,8 +210,8 @@ def oracle_sql() -> dict[str, str]:
         "template_render": f"SELECT p_partkey, 'Intent: ' || p_brand || '{answer}' || p_type AS answer FROM part",
         "template_variables": "SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all('{intent} of {brand}: ' || p_name || ' {intent}', '\\{([a-z][a-z0-9_]*)\\}', 1))), ',') AS variables FROM part",
         "slots_text": "SELECT n_nationkey, 'nation=' || n_name || '/' || lower(n_name) || ', region=' || r_name AS slots FROM nation JOIN region ON n_regionkey = r_regionkey",
-        "tokenize_en": r"WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^\s]+') AS w FROM documents) SELECT doc_id, len(w)::BIGINT AS n_tokens, w[1] AS first, w[-1] AS last FROM t",
-        "tokenize_chars": r"WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[^\s]') AS w FROM conversations) SELECT conv_id, turn, len(w)::BIGINT AS n_tokens, array_to_string(w[1:10], '|') AS head FROM t",
+        "tokenize_en": r"WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^\s]+') AS w FROM documents) SELECT doc_id, nullif(len(w), 0)::BIGINT AS n_tokens, CASE WHEN len(w) > 0 THEN sha256(array_to_string(w, chr(10))) END AS tokens_sha256 FROM t",
+        "tokenize_chars": r"WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[^\s]') AS w FROM conversations) SELECT conv_id, turn, nullif(len(w), 0)::BIGINT AS n_tokens, CASE WHEN len(w) > 0 THEN sha256(array_to_string(w, chr(10))) END AS tokens_sha256 FROM t",
         "mixing_quotas": "WITH w AS (SELECT source, count(*)::DOUBLE AS w FROM documents GROUP BY 1), r AS (SELECT source, 137 * w / sum(w) OVER () AS raw FROM w), x AS (SELECT source, floor(raw) AS f, row_number() OVER (ORDER BY raw - floor(raw) DESC, source) AS rn, 137 - sum(floor(raw)) OVER () AS k FROM r) SELECT source, (f + CASE WHEN rn <= k THEN 1 ELSE 0 END)::BIGINT AS quota FROM x",
         "split_assign": f"WITH {SPLIT} SELECT c_custkey, split FROM sp",
         "derive_seed": """SELECT o_orderkey, ('0x' || substr(sha256('["example",7,"train",' || o_orderkey || ']'), 9, 8))::BIGINT AS seed FROM orders""",
@@ -222,7 +229,7 @@ def oracle_sql() -> dict[str, str]:
         "json_validate": "SELECT event_id, json_type(props) = 'OBJECT' AS is_object, len(json_keys(props))::BIGINT AS n_keys, array_to_string(list_sort(json_keys(props)), ',') AS key_names FROM events",
         "check_value": "SELECT p_partkey, p_brand IN ('Brand#11', 'Brand#12', 'Brand#23') AS brand_ok, p_retailprice BETWEEN 950 AND 1500 AS price_ok, length(p_name) BETWEEN 1 AND 12 AS name_ok, p_size % 30 < 24 AS time_ok FROM part",
         "validate_ids": "SELECT p_partkey, regexp_full_match(replace(lower(p_type), ' ', '-'), '[a-z][a-z0-9]*(-[a-z0-9]+)*') AND length(p_type) <= 64 AS ok, regexp_full_match(p_type, '[a-z][a-z0-9]*(-[a-z0-9]+)*') AS raw_ok FROM part",
-        "fixture_lookup": "SELECT o_orderkey, coalesce(c_mktsegment, 'missing') AS response FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey",
+        "fixture_lookup": "SELECT o_orderkey, coalesce(c_mktsegment, 'missing') AS response FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
         "dataset_split_counts": f"WITH {SPLIT} SELECT s.split, count(sp.split) AS n FROM (VALUES ('train'), ('dev'), ('test'), ('none')) s(split) LEFT JOIN sp ON sp.split = s.split GROUP BY 1",
         "stream_frames": "SELECT event_id, p::BIGINT AS pushed, CASE WHEN p - 5120 < 400 THEN 0 ELSE (p::BIGINT - 5120 - 400) // 160 + 1 END AS committed FROM (SELECT event_id, sum(trunc(abs(value) * 100)::BIGINT + 160) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)",
         "stream_intent": STREAM,

@@ -26,6 +26,25 @@ def log_mel_columns(rows: DataFrame, samples: str = "samples", **config) -> Data
     return rows.select(*rest, samples).mapInArrow(run, schema)
 
 
+def power_columns(rows: DataFrame, config: dict, samples: str = "samples") -> DataFrame:
+    """``rows`` with ``power`` (frames of power spectra under a hann window) instead of the samples; null samples give null."""
+    rest = [c for c in rows.columns if c not in (samples, "power")]
+    schema = T.StructType([rows.schema[c] for c in rest]).add("power", T.ArrayType(T.ArrayType(T.DoubleType())))
+    length, hop = (round(config["rate"] * config[k] / 1000) for k in ("frame_ms", "hop_ms"))
+
+    def run(batches: Iterable) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from brightloom.signal.kernels import frames, stft_power, window
+
+        for batch in batches:
+            found = [None if v.as_py() is None else stft_power(frames(np.asarray(v.as_py(), float), length, hop) * window("hann", length), config["n_fft"]).tolist() for v in batch[samples]]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in rest], pa.array(found, pa.list_(pa.list_(pa.float64())))], [*rest, "power"])
+
+    return rows.select(*rest, samples).mapInArrow(run, schema)
+
+
 def log_mel_summary(rows: DataFrame) -> DataFrame:
     """Frames and mean of short signals at 1 kHz: vec_id, n_frames, mean_log_mel."""
     from pyspark.sql import functions as F
