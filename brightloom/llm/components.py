@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import discard, stored
+from brightloom.llm.common import discard, small, stored
+
+
+def _minima(least: DataFrame) -> DataFrame:
+    """One row for each vertex, written first: broadcast if few, else the join with a hub's edges is one that Spark can split."""
+    return small(stored(least, "minima"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a vertex links to the least of the vertex and its neighbours."""
     both = edges.select("u", "w").union(edges.select(F.col("w").alias("u"), F.col("u").alias("w")))
-    least = both.groupBy("u").agg(F.min("w").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+    least = _minima(both.groupBy("u").agg(F.min("w").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m")))
     return both.where("w > u").join(least, F.col("u") == F.col("c")).select(F.col("w").alias("u"), F.col("m").alias("w")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a vertex, and the vertex, link to the least of them."""
     down = edges.select(F.greatest("u", "w").alias("u"), F.least("u", "w").alias("w"))
-    least = down.groupBy("u").agg(F.min("w").alias("m")).select(F.col("u").alias("c"), "m")
+    least = _minima(down.groupBy("u").agg(F.min("w").alias("m")).select(F.col("u").alias("c"), "m"))
     moved = down.join(least, F.col("u") == F.col("c")).where("w <> m").select(F.col("w").alias("u"), F.col("m").alias("w"))
     return moved.union(least.select(F.col("c").alias("u"), F.col("m").alias("w"))).distinct()
 
