@@ -85,16 +85,24 @@ def _first_ranks(ids: DataFrame) -> DataFrame:
     return inside.join(F.broadcast(starts), F.col("radix") == F.col("r")).select("h1", "h2", (F.col("start") + F.col("inner")).alias("rank"))
 
 
-def _doubled(level: DataFrame, step: int) -> DataFrame:
-    """Ranks of runs of 2 * ``step`` lines from those of ``step`` lines: (rid, line, rank), repeated runs only."""
+def _doubled(level: DataFrame, step: int, ranks: int) -> DataFrame:
+    """Ranks of runs of 2 * ``step`` lines from those of ``step`` lines: (rid, line, rank), repeated runs only.
+
+    Places within an interval come from counts by ranges of the second rank
+    (``RADIX`` of them over ``ranks``), so no task sorts all that follows a common line.
+    """
     by_text = Window.partitionBy("rid").orderBy("line")
     # Rows of a text are in order, so a row ``step`` rows on is ``step`` lines on only if no line between was dropped.
     on = F.lead("line", step).over(by_text) == F.col("line") + step
     pairs = level.withColumn("second", F.when(on, F.lead("rank", step).over(by_text))).where("second is not null")
     counted = pairs.groupBy("rank", "second").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    smaller = Window.partitionBy("rank").orderBy("second").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counted.select(F.col("rank").alias("r"), F.col("second").alias("s"), (F.col("rank") + F.coalesce(F.sum("n").over(smaller), F.lit(0))).alias("new"))
-    return pairs.join(ranks, (F.col("rank") == F.col("r")) & (F.col("second") == F.col("s"))).select("rid", "line", F.col("new").alias("rank"))
+    counted = stored(counted.withColumn("part", F.expr(f"second div {ranks // RADIX + 1}")), "pairs")
+    before = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counted.groupBy("rank", "part").agg(F.sum("n").alias("n")).select(F.col("rank").alias("r0"), F.col("part").alias("p0"), before("rank", "part").alias("start"))
+    placed = counted.withColumn("inner", before("rank", "part", "second")).join(starts, (F.col("rank") == F.col("r0")) & (F.col("part") == F.col("p0")))
+    named = placed.select(F.col("rank").alias("r"), F.col("second").alias("s"), (F.col("rank") + F.col("start") + F.col("inner")).alias("new"))
+    named = small(stored(named, "names"))
+    return pairs.join(named, (F.col("rank") == F.col("r")) & (F.col("second") == F.col("s"))).select("rid", "line", F.col("new").alias("rank"))
 
 
 def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
@@ -109,7 +117,8 @@ def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
     to_here = base.where("back is not null").select("rid", (F.col("line") - F.col("back") + 1).alias("start"), F.col("back").alias("length"))
     runs = from_here.union(to_here).distinct()
     level, step, named = base.select("rid", "line", "rank"), 1, None
-    longest = base.agg(F.greatest(F.max("ahead"), F.max("back"))).first()[0] or 0
+    longest, top = base.agg(F.greatest(F.max("ahead"), F.max("back")), F.max("rank")).first()
+    longest = longest or 0
     while step <= longest:
         a = level.select(F.col("rid").alias("ra"), F.col("line").alias("la"), F.col("rank").alias("head"))
         b = level.select(F.col("rid").alias("rb"), F.col("line").alias("lb"), F.col("rank").alias("tail"))
@@ -123,7 +132,7 @@ def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
         named = here if named is None else named.union(here)
         if 2 * step > longest:
             break
-        level = stored(_doubled(level, step), "level")
+        level = stored(_doubled(level, step, top), "level")
         if level.isEmpty():
             break
         step *= 2
