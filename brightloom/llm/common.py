@@ -24,6 +24,21 @@ ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.exec
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_SCOPES: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside have a folder of their own, removed at the end: write results before it."""
+    _SCOPES.append(uuid.uuid4().hex)
+    try:
+        yield
+    finally:
+        at = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _SCOPES.pop()
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """This application's folder in the shared one; a temporary folder only where none is named and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,7 +47,7 @@ def scratch_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="brightloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/brightloom-{spark.sparkContext.applicationId}"
+    return "/".join([base.rstrip("/"), f"brightloom-{spark.sparkContext.applicationId}", *_SCOPES])
 
 
 @contextlib.contextmanager

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import let, require, words
+from brightloom.llm.common import boxed, let, require, words
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = tuple(
@@ -99,10 +99,11 @@ def _repeat_words(w: Column, n: Column) -> Column:
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the columns of ``MEASURES`` (long)."""
     require(docs, text)
-    rest = [F.col(c) for c in docs.columns if c not in MEASURES]
+    kept = [c for c in docs.columns if c not in MEASURES]
     body = F.coalesce(F.col(text), F.lit(""))
-    staged = docs.select(
-        *rest,
+    staged = boxed(docs.select(*[F.col(f"`{c}`") for c in kept]), text).select(
+        text,
+        "_doc",
         words(F.col(text)).alias("_words"),
         F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
         F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -111,8 +112,9 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     n = F.size(w)
     count = lambda a, f: F.size(F.filter(a, f)).cast("long")
     bare = lambda x: F.lower(F.regexp_replace(x, r"^[.,;:!?\"'()]+|[.,;:!?\"'()]+$", ""))
-    return staged.select(
-        *[F.col(c) for c in docs.columns if c not in MEASURES],
+    measured = staged.select(
+        text,
+        "_doc",
         n.cast("long").alias("n_words"),
         F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
         "n_symbols",
@@ -124,12 +126,14 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
         count(lines, lambda x: x.rlike(r"(\.\.\.|…)\s*$")).alias("n_ellipsis_lines"),
         count(w, lambda x: x.rlike(r"\p{L}")).alias("n_letter_words"),
     )
+    # Only now, as the names of other columns could be taken for the staged ones.
+    return measured.select(*[F.col(c) if c == text else F.col(f"_doc.`{c}`").alias(c) for c in kept], *MEASURES)
 
 
 def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with the measures, ``base_failed``, ``kept`` and ``broken_rules`` (names, in table order)."""
     results = {*MEASURES, "base_failed", "kept", "broken_rules"}
-    measured = with_measures(docs.select(*[c for c in docs.columns if c not in results or c == text]), text)
+    measured = with_measures(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in results or c == text]), text)
     any_of = lambda table: F.lit(False) if not table else F.greatest(F.lit(False), *[r.broken() for r in table])
     names = F.array_compact(F.array(*[F.when(r.broken(), F.lit(r.name)) for r in (*BASE_RULES, *rules)]))
     # Always true; a filter on ``kept`` isn't pushed below a column that Spark takes for nondeterministic. Pushed down,

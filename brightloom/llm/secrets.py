@@ -186,7 +186,8 @@ def _spans(rule: SecretRule, order: int, text: Column) -> Column:
 def scan(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``spans``: array of (start, kind, end), kind being the place in ``rules``, by start, then kind."""
     require(docs, id_column, text)
-    docs = docs.drop("spans")
+    columns = [c for c in docs.columns if c != "spans"]
+    docs = boxed(docs.select(*[F.col(f"`{c}`") for c in columns]), id_column, text)
     key = F.xxhash64(F.col(id_column))
     found = candidates(docs, rules, key, text)
     if found is not None:
@@ -203,7 +204,8 @@ def scan(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, id_column: str
         else:
             may = F.coalesce(F.col("_rules").bitwiseAND(F.lit(1 << i)) != 0, F.lit(False))
         each.append(F.when(may, _spans(rule, i, body)).otherwise(none))
-    return joined.withColumn("spans", F.sort_array(F.concat(*each))).drop("_rules")
+    kept = [F.col(c) if c in (id_column, text) else F.col(f"_doc.`{c}`").alias(c) for c in columns]
+    return joined.select(*kept, F.sort_array(F.concat(*each)).alias("spans"))
 
 
 def spans_text(spans: Column, rules: tuple[SecretRule, ...] = RULES) -> Column:

@@ -267,3 +267,32 @@ def test_pipeline_on_odd_tables(spark):
             assert docs.columns == df.columns
         assert docs.count() == n
         assert cp.STAGES[-1][1](spark, docs, DATA).count() == n
+
+
+def test_scratch_folders_go(spark):
+    import os
+
+    from brightloom.llm.common import scratch, scratch_dir, stored
+
+    outside = scratch_dir(spark)
+    with scratch(spark):
+        inside = scratch_dir(spark).removeprefix("file:").replace("//", "/")
+        assert stored(spark.range(3), "x").count() == 3 and os.path.isdir(inside)
+    assert not os.path.exists(inside) and scratch_dir(spark) == outside
+
+
+def test_columns_that_clash_with_inner_names(spark):
+    """Columns named like the operators' own, and with dots, come through unchanged."""
+    from brightloom.llm.linededup import dedup_lines
+    from brightloom.llm.neardup import deduplicated
+    from brightloom.llm.quality import quality
+    from brightloom.llm.secrets import redact, scan
+
+    inner = ["_words", "_lines", "_rid", "_order", "_cuts", "_k", "_key", "_rules", "_doc", "_", "a.b", "_stay", "_t"]
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{text} x{i}" if i else None, *[f"{c}{i}" for c in inner]) for i in range(3)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *inner])
+    for out in (quality(df), dedup_lines(df), scan(df), redact(df), deduplicated(df)):
+        assert set(df.columns) <= set(out.columns)
+        for r in out.collect():
+            assert all(r[c] == f"{c}{r['doc_id']}" for c in inner)
